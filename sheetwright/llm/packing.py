@@ -100,6 +100,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, g
     def group(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "start", "draw"], ignore_index=True)
         where, offsets = first_fit_decreasing(frame["length"].to_numpy(), length)
-        return frame.assign(sequence_id=(frame["bucket"] << 32) + where, offset=offsets)[[x.split()[0] for x in PACKED.split(", ")]]
+        return frame.assign(sequence_id=frame["bucket"].to_numpy() * (1 << 32) + where, offset=offsets)[[x.split()[0] for x in PACKED.split(", ")]]
 
     return pieces.withColumn("bucket", F.col("draw") % F.lit(groups)).groupBy("bucket").applyInPandas(group, PACKED)
