@@ -16,16 +16,24 @@ from sheetwright.llm.workspace import Workspace
 def connected_components(links: DataFrame, space: Workspace, most_rounds: int = 60) -> DataFrame:
     """``links``: a, b. Returns (node, root) for every node of a link; root is the smallest node reachable."""
     edges = space.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    before = _digest(edges)
     for _ in range(most_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        nexts = space.save(small, "edges")
-        same = edges.exceptAll(nexts).isEmpty() and nexts.exceptAll(edges).isEmpty()
+        pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        nexts = space.save(large.join(down, "u").select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct(), "edges")
+        after = _digest(nexts)
         space.drop(edges)
         edges = nexts
-        if same:
+        if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = after
     raise RuntimeError("the components did not settle")
+
+
+def _digest(edges: DataFrame) -> tuple:
+    """Two rounds with the same rows have the same digest."""
+    one = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("a"), F.bit_xor(F.xxhash64("v", "u", F.lit(1))).alias("b")).first()
+    return tuple(one)

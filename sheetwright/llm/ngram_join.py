@@ -6,16 +6,17 @@
    ``bands`` rows. Two sets of the least similarity miss every band with a
    chance below 1e-12 (52 bands of 4 at 0.8), as small as that of two shingles
    with one hash. No document statistics and no limits on a block are needed.
-3. Within a block a star (member, smallest member) is enough to connect copies
-   of one text. Pairs below the size bound are discarded; for the others the
-   incidence rows meet in one task, overlap counts are accumulated over sorted
-   n-gram ids, and pairs below the bound that follows from their sizes go.
-4. Components of the links so far. Where a block still holds several, every
-   pair across two of them is tried as well, so that no link is lost. Blocks in
-   one component are complete: none of their links could change the result.
-
-Nothing is collected to the driver, and a group of m near copies costs O(m)
-pairs as long as they hang together.
+3. Within a block a star (member, best-connected member) is tried first. Pairs
+   below the size bound are discarded; for the others the incidence rows meet
+   in one task, overlap counts are accumulated over sorted n-gram ids, and pairs
+   below the bound that follows from their sizes go.
+4. Components of the links so far. Blocks in one component are complete: none of
+   their links could change the result. The documents of the others are
+   multiplied with each other over their rarest n-grams, as far as the sizes of
+   a pair demand, across components only, and what remains is tried as in 3.
+
+Nothing is collected to the driver. A group of m near copies costs O(m) pairs
+as far as it hangs together.
 
 Edge cases: null, empty or blank texts have no shingle, count 0 and are alone;
 with fewer words than ``n`` the whole sequence is the one shingle; repeated
@@ -134,6 +135,47 @@ def overlaps(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def with_centres(members: DataFrame) -> DataFrame:
+    """Adds each block's centre: the member with most neighbours over all its blocks, which copies of one text tend to be near."""
+    counts = members.groupBy("band").agg(F.count("*").alias("n"))
+    known = members.join(counts, "band").groupBy("set_key").agg(F.sum("n").alias("known"))
+    ranked = members.join(known, "set_key")
+    centre = ranked.groupBy("band").agg(F.max_by(F.struct("set_key", "size"), F.struct("known", "set_key")).alias("c"))
+    return members.join(centre.select("band", F.col("c")["set_key"].alias("centre"), F.col("c")["size"].alias("size_c")), "band")
+
+
+def product_candidates(open_: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of two components that the sparse product over ``open_`` (set_key, size, root) can't rule out.
+
+    N-grams are ordered by how many open documents hold them, rarest first. Two
+    sets that overlap in ``need`` n-grams have their first common one at a rank
+    that leaves at least ``need`` in each; ``need`` follows from the two sizes.
+    So only the columns within that rank are multiplied: for documents with
+    their own edits these are their edits, which nobody shares.
+    """
+
+    def listed(batches):
+        for batch in batches:
+            rows = [None] * batch.num_rows
+            for row, shingles in shingle_sets(batch.column("text"), n):
+                rows[row] = shingles.view(np.int64)
+            yield pa.record_batch([batch.column("set_key"), batch.column("size"), batch.column("root"), pa.array(rows, pa.list_(pa.int64()))], names=["set_key", "size", "root", "shingles"])
+
+    schema = "set_key long, size long, root long, shingles array<long>"
+    cells = open_.join(texts, "set_key").select("set_key", "size", "root", "text").mapInArrow(listed, schema).select("set_key", "size", "root", F.explode("shingles").alias("shingle"))
+    common = cells.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    rows = cells.join(common, "shingle").groupBy("set_key", "size", "root").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("cols"))
+    # n-grams of one document stand before all others, so the ranks here begin behind them
+    ranked = rows.select("set_key", "size", "root", F.posexplode("cols").alias("pos", "col"), (F.col("size") - F.size("cols")).alias("alone"))
+    ranked = ranked.select("set_key", "size", "root", F.col("col")["shingle"].alias("shingle"), (F.col("alone") + F.col("pos")).alias("rank")).where(f"100 * (size - rank) >= {percent} * size")
+    left = ranked.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("set_key", "size", "root", "rank")])
+    right = ranked.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("set_key", "size", "root", "rank")])
+    need = f"ceil({percent} * (size_a + size_b) / {100 + percent})"
+    bound = f"set_key_a < set_key_b and root_a <> root_b and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) and size_a - rank_a >= {need} and size_b - rank_b >= {need}"
+    pairs = left.join(right, "shingle").where(bound).select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b")).distinct()
+    return pairs
+
+
 def classes(docs: DataFrame, n: int = 5, percent: int = 80, width: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id and n_copies (rows with the same set) of every row of ``docs``."""
     spark = docs.sparkSession
@@ -144,27 +186,27 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, width: int = 4) -> D
     keys = space.save(signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("text_id"), F.max("n_shingles").alias("size"), F.count("*").alias("n_copies")), "keys")
 
     entries = signed.where("bands is not null").select("set_key", F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.min_by("size", "set_key").alias("size_c"), F.min("set_key").alias("centre"), F.max("set_key").alias("other")).where("centre <> other")
-    blocks = space.save(entries.join(shared.drop("other"), "band").distinct(), "blocks")
+    shared = entries.groupBy("band").agg(F.min("set_key").alias("least"), F.max("set_key").alias("most")).where("least <> most").select("band")
+    members = space.save(entries.join(shared, "band").distinct(), "members")
+    blocks = space.save(with_centres(members), "blocks")
 
     stars = blocks.where("set_key <> centre").select(F.col("centre").alias("a"), F.col("set_key").alias("b"), F.col("size_c").alias("size_a"), F.col("size").alias("size_b")).where(ratio).select("a", "b").distinct()
     stars = space.save(stars, "stars")
-    involved = blocks.select("set_key").distinct().join(keys, "set_key").select("set_key", "text_id")
+    involved = members.select("set_key").distinct().join(keys, "set_key").select("set_key", "text_id")
     given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("text_id"), F.col("text").cast("string"))
     texts = space.save(own_texts(given.join(involved, "text_id").select("set_key", "text"), n).dropDuplicates(["set_key"]), "texts")
     links = space.save(overlaps(stars, texts, n, percent), "links")
     roots = space.save(connected_components(links, space), "roots")
 
-    # Blocks that hold more than one component: every pair across two of them that was not tried.
-    rooted = blocks.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band")
-    open_ = space.save(rooted.join(mixed, "band").select("band", "set_key", "size", "root"), "open")
-    left = open_.select("band", F.col("set_key").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-    right = open_.select("band", F.col("set_key").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    across = left.join(right, "band").where(f"a < b and root_a <> root_b and {ratio}").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    # Blocks of three and more that hold more than one component.
+    rooted = blocks.select("band", "set_key", "size").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).where("r <> s and n > 2").select("band")
+    open_ = space.save(rooted.join(mixed, "band").select("set_key", "size", "root").distinct(), "open")
+    across = product_candidates(open_, texts, n, percent).join(stars, ["a", "b"], "left_anti")
     more = space.save(overlaps(across, texts, n, percent), "links")
     if not more.isEmpty():
-        roots = space.save(connected_components(links.union(more), space), "roots")
+        rooted_links = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = space.save(connected_components(rooted_links.union(more), space), "roots")
 
     named = keys.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -172,5 +214,5 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, width: int = 4) -> D
     result = signed.select("doc_id", "n_shingles", "set_key").join(member, "set_key", "left")
     result = result.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
     result = space.save(result, "classes")
-    space.drop(signed, keys, blocks, stars, texts, links, roots, open_, more)
+    space.drop(signed, keys, members, blocks, stars, texts, links, roots, open_, more)
     return result
