@@ -111,9 +111,11 @@ def _rows(dest, doc_ids, keys, docs) -> pa.RecordBatch:
 
 def _found(keys: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
     """A row for each doc with its keys; dest spreads them."""
+    if not len(docs):
+        return _rows([], [], [], [])
     order = np.argsort(docs, kind="stable")
     keys, docs = keys[order], docs[order]
-    at = np.flatnonzero(np.diff(docs, prepend=docs[0] - 1)) if len(docs) else np.zeros(0, dtype=np.int64)
+    at = np.flatnonzero(np.diff(docs, prepend=docs[0] - 1))
     to = [*at[1:].tolist(), len(docs)]
     return _rows((docs[at] & 0x7FFFFFF).astype(np.int32), docs[at], [keys[a:b].tobytes() for a, b in zip(at.tolist(), to, strict=True)], [None] * len(at))
 
