@@ -14,8 +14,8 @@ repeated until the target recall is reached at the largest distance allowed;
 how often is computed from items that are edited at random. Windows that share
 a bucket with an item are verified by their exact edit distance.
 
-Two exact bounds keep the windows few: each word that is no word of any item
-(then: of any item of that size) costs an edit.
+Two exact bounds keep the windows few: each word of a window that no item of
+that size has costs an edit, and so does each that one item has not as often.
 
 Items are read by the driver in blocks of ``block_words`` words, and one block
 at a time is sent to the executors.
@@ -42,21 +42,29 @@ from sheetwright.llm.workspace import ship
 FOUND = "doc_id long, item_id long, edits int, n_windows int, word_start int"
 
 
-def edit_distance(one: list, two: list, most: int) -> int:
-    """Edits between two sequences; ``most`` + 1 if there are more."""
-    if abs(len(one) - len(two)) > most:
-        return most + 1
-    row = list(range(len(two) + 1))
-    for i, x in enumerate(one, 1):
-        last, row[0] = row[0], i
-        low = i
-        for j, y in enumerate(two, 1):
-            here = min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-            last, row[j] = row[j], here
-            low = min(low, here)
-        if low > most:
-            return most + 1
-    return row[-1]
+def edit_distances(one: np.ndarray, lengths: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Edits between the rows of ``one`` (of the given lengths) and ``two``, all pairs at once."""
+    n = two.shape[1]
+    place = np.arange(n + 1)
+    row = np.broadcast_to(place, (len(one), n + 1)).astype(np.int32)
+    out = np.where(lengths == 0, n, 0).astype(np.int32)
+    for i in range(1, int(lengths.max(initial=0)) + 1):
+        change = row[:, :-1] + (one[:, i - 1, None] != two)
+        new = np.empty_like(row)
+        new[:, 0] = i
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, change)
+        row = np.minimum.accumulate(new - place, axis=1) + place  # words put in, from the left
+        done = lengths == i
+        out[done] = row[done, n]
+    return out
+
+
+def repeats(rows: np.ndarray) -> np.ndarray:
+    """How often each word of a row stood in it before."""
+    out = np.zeros(rows.shape, dtype=np.int16)
+    for k in range(1, rows.shape[1]):
+        out[:, k:] += rows[:, k:] == rows[:, :-k]
+    return out
 
 
 @dataclass
@@ -66,6 +74,8 @@ class SizeGroup:
     n: int
     most: int
     local: np.ndarray  # by block-wide word number
+    inside: np.ndarray  # whether a word is in the group
+    count: np.ndarray  # by item and word: how often the item has the word
     items: np.ndarray
     ids: list[int]
     pad: int
@@ -151,61 +161,73 @@ def plan_groups(items: list[tuple[int, np.ndarray]], vocabulary: np.ndarray, sim
                 for k, b in enumerate(bucket(strings[v], sample).tolist()):
                     place.setdefault(b, []).append(k)
                 keys[-1].append(place)
-        groups.append(SizeGroup(n, most, local, table, [i for i, _ in own], pad, moves, picks, keys))
+        counts = np.zeros((len(table), pad + 1), dtype=np.int16)
+        np.add.at(counts, (np.arange(len(table))[:, None], table), 1)
+        groups.append(SizeGroup(n, most, local, (local > 0).astype(np.int32), counts, table, [i for i, _ in own], pad, moves, picks, keys))
     return groups
 
 
-def candidates(group: SizeGroup, windows: np.ndarray, lengths: np.ndarray) -> set[tuple[int, int]]:
-    """(window, item) that share a bucket."""
-    out: set[tuple[int, int]] = set()
+def possible(group: SizeGroup, windows: np.ndarray) -> np.ndarray:
+    """By window and item: whether they have enough words in common, each as often as both have it."""
+    least = group.n - group.most
+    out = np.stack([(c > 0)[windows].sum(axis=1) >= least for c in group.count], axis=1)
+    some = np.flatnonzero(out.any(axis=1))
+    before = repeats(windows[some])
+    for k, c in enumerate(group.count):
+        out[some, k] &= (before < c[windows[some]]).sum(axis=1) >= least
+    return out
+
+
+def candidates(group: SizeGroup, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """By window and item: whether they share a bucket."""
+    out = np.zeros((len(windows), len(group.items)), dtype=bool)
     for moves, picks, keys in zip(group.walks, group.samples, group.keys, strict=True):
         strings = walk(windows, lengths, moves, group.pad)
         for sample, place in zip(picks, keys, strict=True):
             got = bucket(strings, sample)
-            for k in np.flatnonzero(np.isin(got, np.fromiter(place, dtype=np.uint64, count=len(place)))).tolist():
-                out.update((k, item) for item in place[int(got[k])])
+            for key, items in place.items():
+                out[np.ix_(got == np.uint64(key), items)] = True
     return out
 
 
-def _search(w, vocabulary: np.ndarray, groups: list[SizeGroup], verified: dict):
+def _search(w, vocabulary: np.ndarray, groups: list[SizeGroup]):
     """(row, item_id, edits, start) of the rows of one chunk."""
     place = np.minimum(np.searchsorted(vocabulary, w.hashes), len(vocabulary) - 1)
     number = np.where(vocabulary[place] == w.hashes, place + 1, 0)
     total = len(number)
-    known = np.concatenate([[0], np.cumsum(number > 0)])
-    row_end = np.repeat(w.offsets[1:], np.diff(w.offsets))
-    row_of = np.repeat(np.arange(w.last - w.first), np.diff(w.offsets))
     row_size = np.diff(w.offsets)
+    row_end = np.repeat(w.offsets[1:], row_size)
+    row_of = np.repeat(np.arange(w.last - w.first), row_size)
+    known = np.zeros(total + 1, dtype=np.int32)
     for g in groups:
         least = g.n - g.most
+        np.cumsum(g.inside[number], out=known[1:])
         start = np.zeros(0, dtype=np.int64)
         if total >= g.n:
             at = np.flatnonzero(known[g.n :] - known[: total - g.n + 1] >= least)
             start = at[at + g.n <= row_end[at]]
         short = np.flatnonzero((row_size < g.n) & (row_size >= max(1, least)))
-        short = short[known[w.offsets[short + 1]] - known[w.offsets[short]] >= least] if len(short) else short
-        if not len(start) and not len(short):
-            continue
+        short = short[known[w.offsets[short + 1]] - known[w.offsets[short]] >= least]
         begin = np.concatenate([start, w.offsets[short]])
+        if not len(begin):
+            continue
         length = np.concatenate([np.full(len(start), g.n), row_size[short]])
         column = begin[:, None] + np.arange(g.n)[None, :]
-        inside = np.arange(g.n)[None, :] < length[:, None]
-        windows = np.where(inside, g.local[number[np.minimum(column, total - 1)]], 0)
-        good = (windows > 0).sum(axis=1) >= least
-        windows, begin, length = windows[good], begin[good], length[good]
-        if not len(windows):
+        windows = np.where(np.arange(g.n)[None, :] < length[:, None], g.local[number[np.minimum(column, total - 1)]], g.pad)
+        key = bucket(windows, np.arange(g.n))
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        distinct, size = windows[first], length[first]
+        near = possible(g, distinct)
+        some = np.flatnonzero(near.any(axis=1))
+        if not len(some):
             continue
-        distinct, inverse = np.unique(np.concatenate([windows, length[:, None]], axis=1), axis=0, return_inverse=True)
+        near = near[some] & candidates(g, distinct[some], size[some])
+        which, items = np.nonzero(near)
+        edits = edit_distances(distinct[some][which], size[some][which], g.items[items])
         hits: dict[int, list[tuple[int, int]]] = {}
-        for k, item in candidates(g, distinct[:, :-1], distinct[:, -1]):
-            own = tuple(distinct[k, : distinct[k, -1]].tolist())
-            if (g.n, item, own) not in verified:
-                if len(verified) > 100_000:
-                    verified.clear()
-                verified[g.n, item, own] = edit_distance(list(own), g.items[item].tolist(), g.most)
-            if (edits := verified[g.n, item, own]) <= g.most:
-                hits.setdefault(k, []).append((item, edits))
-        inverse = inverse.reshape(-1)
+        for k, item, e in zip(some[which].tolist(), items.tolist(), edits.tolist(), strict=True):
+            if e <= g.most:
+                hits.setdefault(k, []).append((item, e))
         for x in np.flatnonzero(np.isin(inverse, list(hits))).tolist() if hits else ():
             row = int(row_of[begin[x]])
             for item, edits in hits[int(inverse[x])]:
@@ -246,12 +268,11 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, rec
 
         def run(batches, sent=sent):
             vocabulary, groups = sent.value
-            verified: dict = {}
             for batch in batches:
                 best: dict[tuple[int, int], list[int]] = {}
                 for w in words(batch.column("text"), lower=True):
                     if len(w.hashes):
-                        for row, item, edits, start in _search(w, vocabulary, groups, verified):
+                        for row, item, edits, start in _search(w, vocabulary, groups):
                             mine = best.setdefault((w.first + row, item), [edits, 0, start])
                             mine[1] += 1
                             if (edits, start) < (mine[0], mine[2]):
