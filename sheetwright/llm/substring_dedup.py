@@ -18,7 +18,9 @@ The corpus form therefore looks windows up by hash, in three steps:
    a third of all rows sends one entry from each task.
 3. Documents with the windows found covered; words there go.
 
-The texts are dealt by doc_id once, and both joins reuse that exchange.
+Entries travel packed, all of one place in a row. The texts are dealt to slots
+by doc_id once; both steps that look at them again reuse that exchange, and
+meet what was found for the same slot.
 
 Edge cases: a null text has no words; texts of fewer than ``window`` words are
 kept; rows that share a doc_id don't cover each other and are returned one by
@@ -41,10 +43,23 @@ from sheetwright.llm.workspace import Workspace, shuffle_partitions
 #: Entries that a task holds before it forwards them.
 HELD = 1 << 21
 
-ROUTED = "dest int, doc_id long, keys binary, docs binary"
+ENTRIES = "dest int, docs binary, keys binary"
+KNOWN = "slot int, docs binary, keys binary"
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
+#: How a doc_id is dealt to a slot, here and in Spark.
+PRIME, FACTOR = 2_147_483_647, 48_271
+
+
+def _slots_of(docs: np.ndarray, slots: int) -> np.ndarray:
+    return (docs % PRIME * FACTOR % PRIME % slots).astype(np.int32)
+
+
+def _slot_column(slots: int):
+    return F.coalesce(F.pmod(F.pmod(F.col("doc_id"), F.lit(PRIME)) * FACTOR, F.lit(PRIME)) % slots, F.lit(0)).cast("int")
+
+
 def sliding_min(values: np.ndarray, n: int) -> np.ndarray:
     """The least of every n consecutive values, by doubling."""
     out, have = values, 1
@@ -67,10 +82,13 @@ def _windows(w, window: int, anchor: int):
 
 
 class _Entries:
-    """(key, doc) entries of a task; ``settle`` deals them out."""
+    """(key, doc) entries of a task; ``settle`` deals them out.
+
+    later_only: the smallest doc of a key is of no interest to it.
+    """
 
-    def __init__(self, dests: int, later_only: bool):
-        self.dests, self.later_only = dests, later_only
+    def __init__(self, dests: int, slots: int, later_only: bool):
+        self.dests, self.slots, self.later_only = dests, slots, later_only
         self.keys: list[np.ndarray] = []
         self.docs: list[np.ndarray] = []
         self.n = 0
@@ -81,73 +99,79 @@ class _Entries:
         self.n += len(keys)
 
     def settle(self):
-        """Rows with the smallest doc of each key for its bucket, and rows with keys already known to be shared."""
+        """Rows with the smallest doc of each key for its bucket (dest), and what is known already (dest below 0: the slot)."""
         if not self.n:
             return
         keys, docs = np.concatenate(self.keys), np.concatenate(self.docs)
         self.keys, self.docs, self.n = [], [], 0
-        order = np.lexsort((docs, keys))
-        keys, docs = keys[order], docs[order]
-        first = np.ones(len(keys), dtype=bool)
-        first[1:] = keys[1:] != keys[:-1]
-        least = docs[np.flatnonzero(first)][np.cumsum(first) - 1]
-        known = docs > least
-        if not self.later_only:  # an anchor is shared for the smallest one too
-            run = np.cumsum(first) - 1
-            known = np.bincount(run, weights=known)[run] > 0
-        yield _found(keys[known], docs[known])
+        keys, docs, first, known = _shared(keys, docs, self.later_only)
+        slot = _slots_of(docs[known], self.slots)
+        yield _packed(-1 - slot, docs[known], keys[known] if self.later_only else keys[known].astype(np.uint32), "dest")
         keys, docs = keys[first], docs[first]
-        dest = (keys >> np.uint64(33)).astype(np.int64) % self.dests
-        order = np.argsort(dest, kind="stable")
-        keys, docs, dest = keys[order], docs[order], dest[order]
-        at = np.flatnonzero(np.diff(dest, prepend=-1))
-        to = [*at[1:].tolist(), len(dest)]
-        yield _rows(dest[at], [None] * len(at), [keys[a:b].tobytes() for a, b in zip(at.tolist(), to, strict=True)], [docs[a:b].tobytes() for a, b in zip(at.tolist(), to, strict=True)])
+        dest = ((keys >> np.uint64(33)).astype(np.int64) % self.dests).astype(np.int32)
+        yield _packed(dest, docs, keys if self.later_only else keys.astype(np.uint32), "dest")
 
 
-def _rows(dest, doc_ids, keys, docs) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(dest, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(docs, pa.binary())], names=["dest", "doc_id", "keys", "docs"])
+def _shared(keys: np.ndarray, docs: np.ndarray, later_only: bool):
+    """The entries in order, which are the first of their key, and which share it with a smaller doc (or any other)."""
+    order = np.lexsort((docs, keys))
+    keys, docs = keys[order], docs[order]
+    first = np.ones(len(keys), dtype=bool)
+    first[1:] = keys[1:] != keys[:-1]
+    run = np.cumsum(first) - 1
+    known = docs > docs[np.flatnonzero(first)][run]
+    if not later_only:
+        known = np.bincount(run, weights=known)[run] > 0
+    return keys, docs, first, known
 
 
-def _found(keys: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
-    """A row for each doc with its keys; dest spreads them."""
-    if not len(docs):
-        return _rows([], [], [], [])
-    order = np.argsort(docs, kind="stable")
-    keys, docs = keys[order], docs[order]
-    at = np.flatnonzero(np.diff(docs, prepend=docs[0] - 1))
-    to = [*at[1:].tolist(), len(docs)]
-    return _rows((docs[at] & 0x7FFFFFF).astype(np.int32), docs[at], [keys[a:b].tobytes() for a, b in zip(at.tolist(), to, strict=True)], [None] * len(at))
+def _packed(to: np.ndarray, docs: np.ndarray, keys: np.ndarray, name: str) -> pa.RecordBatch:
+    """One row for each place with all its docs and keys."""
+    order = np.argsort(to, kind="stable")
+    to, docs, keys = to[order], docs[order], keys[order]
+    at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, dtype=np.int64)
+    ends = np.append(at[1:], len(to)).tolist() if len(at) else []
+    pairs = list(zip(at.tolist(), ends, strict=True))
+    columns = [pa.array(to[at], pa.int32()), pa.array([docs[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([keys[a:b].tobytes() for a, b in pairs], pa.binary())]
+    return pa.record_batch(columns, names=[name, "docs", "keys"])
 
 
-def _meet(later_only: bool):
+def _unpacked(docs, keys, kind) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(docs.to_pylist()), dtype=np.int64), np.frombuffer(b"".join(keys.to_pylist()), dtype=kind)
+
+
+def _meet(slots: int, later_only: bool):
     """Of forwarded entries: keys with several docs, for each of these docs (or for all but the smallest)."""
+    kind = np.uint64 if later_only else np.uint32
 
     def run(batches):
-        keys, docs = [], []
+        sent: dict[int, list] = {}
         for batch in batches:
-            passed = batch.filter(batch.column("doc_id").is_valid())
-            if passed.num_rows:
-                yield passed
-            sent = batch.filter(batch.column("doc_id").is_null())
-            keys += [np.frombuffer(x, dtype=np.uint64) for x in sent.column("keys").to_pylist()]
-            docs += [np.frombuffer(x, dtype=np.int64) for x in sent.column("docs").to_pylist()]
-        if keys:
-            keys, docs = np.concatenate(keys), np.concatenate(docs)
-            order = np.lexsort((docs, keys))
-            keys, docs = keys[order], docs[order]
-            first = np.ones(len(keys), dtype=bool)
-            first[1:] = keys[1:] != keys[:-1]
-            run_of = np.cumsum(first) - 1
-            known = docs > docs[np.flatnonzero(first)][run_of]
-            if not later_only:
-                known = np.bincount(run_of, weights=known)[run_of] > 0
+            dest = batch.column("dest").to_numpy()
+            ready = batch.filter(pa.array(dest < 0))
+            if ready.num_rows:
+                yield pa.record_batch([pa.array((-1 - dest[dest < 0]).astype(np.int32)), ready.column("docs"), ready.column("keys")], names=["slot", "docs", "keys"])
+            for to, docs, keys in zip(dest.tolist(), batch.column("docs").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                if to >= 0:
+                    sent.setdefault(to, []).append((docs, keys))
+        for parts in sent.values():  # keys of 32 bits mean the same in one bucket only
+            docs, keys = np.frombuffer(b"".join(d for d, _ in parts), dtype=np.int64), np.frombuffer(b"".join(k for _, k in parts), dtype=kind)
+            keys, docs, _, known = _shared(keys, docs, later_only)
             if known.any():
-                yield _found(keys[known], docs[known])
+                yield _packed(_slots_of(docs[known], slots), docs[known], keys[known], "slot")
 
     return run
 
 
+def _by_doc(table: pa.Table, kind) -> dict[int, np.ndarray]:
+    """The keys of each doc of a slot."""
+    docs, keys = _unpacked(table.column("docs"), table.column("keys"), kind)
+    order = np.argsort(docs, kind="stable")
+    docs, keys = docs[order], keys[order]
+    at = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, dtype=np.int64)
+    return dict(zip(docs[at].tolist(), np.split(keys, at[1:]), strict=True)) if len(at) else {}
+
+
 def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = 5) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the words kept, joined by one space."""
     return _kept(docs, window, anchor, digest=True)
@@ -160,12 +184,12 @@ def without_repeats(docs: DataFrame, window: int = 13, anchor: int = 5) -> DataF
 
 def _kept(docs: DataFrame, window: int, anchor: int, digest: bool) -> DataFrame:
     spark = docs.sparkSession
-    space = Workspace(spark, "substring-dedup")
+    Workspace(spark, "substring-dedup")
     parts = shuffle_partitions(spark)
-    dests = 4 * parts
+    dests = slots = 4 * parts
 
     def anchors(batches):
-        held = _Entries(dests, later_only=False)
+        held = _Entries(dests, slots, later_only=False)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for w in words(batch.column("text")):
@@ -176,55 +200,48 @@ def _kept(docs: DataFrame, window: int, anchor: int, digest: bool) -> DataFrame:
                     yield from held.settle()
         yield from held.settle()
 
-    def shared_windows(batches):
-        held = _Entries(dests, later_only=True)
-        for batch in batches:
-            ids, found = batch.column("doc_id").to_pylist(), batch.column("found")
-            for w in words(batch.column("text")):
-                for row, every, low in _windows(w, window, anchor):
-                    held.add(np.unique(every[np.isin(low, _joined(found[row]))]), ids[row])
-                if held.n > HELD:
-                    yield from held.settle()
-        yield from held.settle()
-
-    def cover(batches):
-        for batch in batches:
-            found = batch.column("found")
-            gone: dict[int, np.ndarray] = {}
-            for w in words(batch.column("text")):
-                for row, every, _ in _windows(w, window, anchor):
-                    if found[row].is_valid:
-                        at = np.flatnonzero(np.isin(every, _joined(found[row])))
-                        change = np.zeros(len(every) + window, dtype=np.int32)
-                        change[at] += 1
-                        change[at + window] -= 1
-                        gone[row] = np.cumsum(change)[:-1] > 0
-            out = []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                own = (text or "").encode().split()  # bytes.split() knows just the six separators
-                n = len(own)
-                if row in gone:
-                    own = [own[k] for k in np.flatnonzero(~gone[row]).tolist()]
-                kept = b" ".join(own)
-                out.append((n, n - len(own), hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
-            columns = list(zip(*out, strict=True)) or [[]] * 3
-            made = [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))]
-            yield pa.record_batch(made, names=["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "text"])
+    def shared_windows(texts: pa.Table, found: pa.Table) -> pa.Table:
+        wanted, held = _by_doc(found, np.uint32), _Entries(dests, slots, later_only=True)
+        ids = texts.column("doc_id").to_pylist()
+        texts = texts.filter(pa.array([doc in wanted for doc in ids], pa.bool_()))
+        ids = texts.column("doc_id").to_pylist()
+        for w in words(texts.column("text")) if ids else ():
+            for row, every, low in _windows(w, window, anchor):
+                held.add(np.unique(every[np.isin(low.astype(np.uint32), wanted[ids[row]])]), ids[row])
+        return pa.Table.from_batches(list(held.settle()), schema=pa.schema([("dest", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary())]))
+
+    def cover(texts: pa.Table, found: pa.Table) -> pa.Table:
+        wanted = _by_doc(found, np.uint64)
+        ids = texts.column("doc_id").to_pylist()
+        gone: dict[int, np.ndarray] = {}
+        for w in words(texts.column("text")) if ids else ():
+            for row, every, _ in _windows(w, window, anchor):
+                if ids[row] in wanted:
+                    at = np.flatnonzero(np.isin(every, wanted[ids[row]]))
+                    change = np.zeros(len(every) + window, dtype=np.int32)
+                    change[at] += 1
+                    change[at + window] -= 1
+                    gone[row] = np.cumsum(change)[:-1] > 0
+        out = []
+        for row, text in enumerate(texts.column("text").to_pylist()):
+            own = (text or "").encode().split()  # bytes.split() knows just the six separators
+            n = len(own)
+            if row in gone:
+                own = [own[k] for k in np.flatnonzero(~gone[row]).tolist()]
+            kept = b" ".join(own)
+            out.append((n, n - len(own), hashlib.sha256(kept).hexdigest() if digest else kept.decode()))
+        columns = list(zip(*out, strict=True)) or [[]] * 3
+        made = [pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))]
+        return pa.table(made, names=["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "text"])
 
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    shared = given.mapInArrow(anchors, ROUTED).repartition(parts, "dest").mapInArrow(_meet(later_only=False), ROUTED)
-    shared = space.save(shared.select("doc_id", "keys"), "anchors")
-
-    dealt = given.repartition(parts, "doc_id")
-    to_look = shared.groupBy("doc_id").agg(F.collect_list("keys").alias("found")).hint("shuffle_hash")
-    looked = dealt.join(to_look, "doc_id").mapInArrow(shared_windows, ROUTED)
-    covered = looked.repartition(parts, "dest").mapInArrow(_meet(later_only=True), ROUTED).select("doc_id", "keys")
-    covered = covered.groupBy("doc_id").agg(F.collect_list("keys").alias("found")).hint("shuffle_hash")
-    return dealt.join(covered, "doc_id", "left").mapInArrow(cover, KEPT if digest else "doc_id long, n_words long, n_removed long, text string")
-
+    dealt = given.withColumn("slot", _slot_column(slots)).repartition(parts, "slot")
+    by_slot = lambda df: df.repartition(parts, "slot").groupBy("slot")
 
-def _joined(found: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(b"".join(found.as_py()), dtype=np.uint64)
+    shared = given.mapInArrow(anchors, ENTRIES).repartition(parts, "dest").mapInArrow(_meet(slots, later_only=False), KNOWN)
+    looked = dealt.groupBy("slot").cogroup(by_slot(shared)).applyInArrow(shared_windows, ENTRIES)
+    covered = looked.repartition(parts, "dest").mapInArrow(_meet(slots, later_only=True), KNOWN)
+    return dealt.groupBy("slot").cogroup(by_slot(covered)).applyInArrow(cover, KEPT if digest else "doc_id long, n_words long, n_removed long, text string")
 
 
 class Automaton:
