@@ -186,7 +186,7 @@ def _kept(docs: DataFrame, window: int, anchor: int, digest: bool) -> DataFrame:
     spark = docs.sparkSession
     Workspace(spark, "substring-dedup")
     parts = shuffle_partitions(spark)
-    dests = slots = 4 * parts
+    dests = slots = 2 * parts
 
     def anchors(batches):
         held = _Entries(dests, slots, later_only=False)
