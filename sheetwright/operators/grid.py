@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetwright.operators.folds import fold_groups
+
 #: Most rows, columns, slots of a table and slots of a cell in the topology fold.
 MOST_ROWS, MOST_COLS, MOST_SLOTS, MOST_CELL_SLOTS = 65_536, 1_024, 2_000_000, 100_000
 
@@ -226,7 +228,7 @@ def place_cells(cells: DataFrame, order: str = "order") -> DataFrame:
         return pd.DataFrame(rows, columns=["grid", order, "row", "col", "row_span", "col_span"])
 
     kinds = dict(cells.dtypes)
-    return cells.groupBy("grid").applyInPandas(fold, f"grid {kinds['grid']}, {order} {kinds[order]}, row int, col int, row_span int, col_span int")
+    return fold_groups(cells, ["grid"], fold, f"grid {kinds['grid']}, {order} {kinds[order]}, row int, col int, row_span int, col_span int")
 
 
 # -- paragraph ranges

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwright.functions import numbering
+from sheetwright.operators.folds import fold_groups
 
 LEVELS = 9
 NUMBERED = "doc_id long, position long, label string, ordinal int"
@@ -129,4 +130,4 @@ def number_lists(items: DataFrame, definitions: dict[str, dict]) -> DataFrame:
 
     pairs = F.create_map(*[F.lit(x) for p in group.items() for x in p])
     known = items.select(F.col("doc_id").cast("long"), F.col("position").cast("long"), "definition", "level", "restart").withColumn("counter_group", pairs[F.col("definition")])
-    return known.where("counter_group is not null").groupBy("doc_id", "counter_group").applyInPandas(fold, NUMBERED)
+    return fold_groups(known.where("counter_group is not null"), ["doc_id", "counter_group"], fold, NUMBERED)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwright.functions import numbering
+from sheetwright.operators.folds import fold_groups
 
 #: Tolerance of a page's room, a sheet column's width and its tolerance.
 ROOM, COLUMN_WIDTH, COLUMN_TOLERANCE = 0.001, 72.0, 0.01
@@ -50,7 +51,7 @@ def column_runs(columns: DataFrame, room: float) -> DataFrame:
         out.insert(0, "sheet", frame["sheet"].iloc[0])
         return out[["sheet", "run", "first", "last"]].astype({"run": "int32", "first": "int32", "last": "int32"})
 
-    return columns.groupBy("sheet").applyInPandas(fold, f"sheet {dict(columns.dtypes)['sheet']}, run int, first int, last int")
+    return fold_groups(columns, ["sheet"], fold, f"sheet {dict(columns.dtypes)['sheet']}, run int, first int, last int")
 
 
 def overflow_columns(cells: DataFrame, n_cols: int) -> DataFrame:
@@ -79,7 +80,7 @@ def balance_columns(lines: DataFrame, n: int) -> DataFrame:
         return pd.DataFrame({"section": frame["section"], "line": frame["line"], "column": parts, "height": height}).astype({"column": "int32"})
 
     kinds = dict(lines.dtypes)
-    return lines.groupBy("section").applyInPandas(fold, f"section {kinds['section']}, line {kinds['line']}, column int, height double")
+    return fold_groups(lines, ["section"], fold, f"section {kinds['section']}, line {kinds['line']}, column int, height double")
 
 
 def keep_chains(blocks: DataFrame, keys: list[str], order: str, keep: str) -> DataFrame:
@@ -116,7 +117,7 @@ def paginate(blocks: DataFrame, room: float) -> DataFrame:
         return pd.DataFrame({"doc_id": frame["doc_id"], "position": frame["position"], "page": pages, "top": tops}).astype({"page": "int32"})
 
     kinds = dict(blocks.dtypes)
-    return blocks.groupBy("doc_id").applyInPandas(fold, f"doc_id {kinds['doc_id']}, position {kinds['position']}, page int, top double")
+    return fold_groups(blocks, ["doc_id"], fold, f"doc_id {kinds['doc_id']}, position {kinds['position']}, page int, top double")
 
 
 def wrap_words(widths: list[float], gap: float, room: float, tolerance: float = 0.01) -> list[int]:

@@ -90,12 +90,11 @@ def coalesce_runs(runs: DataFrame, keys: list[str], order: str, style: str, leng
 
 def style_at(positions: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     """The run that holds each position; ``runs`` has start and length. An equi-join on the paragraph bounds the range test."""
-    inside = (positions["offset"] >= runs["start"]) & (positions["offset"] < runs["start"] + runs["length"])
-    same = [positions[k] == runs[k] for k in keys]
-    cond = inside
-    for s in same:
-        cond = cond & s
-    return positions.join(runs, cond, "left").select(*[positions[c] for c in positions.columns], runs["style"], runs["start"])
+    held = runs.select(*keys, F.struct("start", "length", "style").alias("held_run"))
+    r = F.col("held_run")
+    met = positions.join(held, keys).where((F.col("offset") >= r["start"]) & (F.col("offset") < r["start"] + r["length"]))
+    found = met.select(*keys, "offset", "held_run").distinct()
+    return positions.join(found, [*keys, "offset"], "left").select(*positions.columns, r["style"].alias("style"), r["start"].alias("start"))
 
 
 def apply_style(runs: DataFrame, keys: list[str], begin: Column, end: Column, patched: Column) -> DataFrame:
@@ -125,16 +124,21 @@ def graphemes(text: Column) -> Column:
 
 
 def boundary_classes(text: Column) -> Column:
-    """For each cluster what follows it: Mandatory, WordBreak or Grapheme."""
-    parts = graphemes(text)
+    """For each cluster what follows it: Mandatory, WordBreak or Grapheme.
 
-    def judge(x: Column, k: Column) -> Column:
-        after = F.coalesce(F.get(parts, k + 1), F.lit(""))
+    Each cluster is looked at with its follower; the clusters are found once for a text.
+    """
+    pairs = F.get(F.transform(F.array(graphemes(text)), lambda g: F.arrays_zip(g.alias("x"), F.concat(F.slice(g, 2, F.greatest(F.size(g) - 1, F.lit(0))), F.array(F.lit(""))).alias("after"))), 0)
+
+    def judge(pair: Column) -> Column:
+        x, after = pair["x"], pair["after"]
         hard = x.rlike(r"[\r\n\x{0B}\x{0C}\x{85}\x{2028}\x{2029}]")
-        wide = (x.rlike(f"^{CJK}") | after.rlike(f"^{CJK}")) & ~after.rlike(f"^{NOT_BEFORE}") & ~x.rlike(f"^{NOT_AFTER}") & (after != "")
-        return F.when(hard, "Mandatory").when(x.rlike(f"^{BREAKING_SPACE}") | wide, "WordBreak").otherwise("Grapheme")
+        ascii_pair = (x <= "~") & (after <= "~")
+        wide = ~ascii_pair & (after != "") & (x.rlike(f"^{CJK}") | after.rlike(f"^{CJK}")) & ~after.rlike(f"^{NOT_BEFORE}") & ~x.rlike(f"^{NOT_AFTER}")
+        space = x.isin(" ", "\t") | (~ascii_pair & x.rlike(f"^{BREAKING_SPACE}"))
+        return F.when(hard, "Mandatory").when(space | wide, "WordBreak").otherwise("Grapheme")
 
-    return F.transform(parts, judge)
+    return F.transform(pairs, judge)
 
 
 # -- revisions
