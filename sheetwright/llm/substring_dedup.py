@@ -147,18 +147,18 @@ def _meet(slots: int, later_only: bool):
     def run(batches):
         sent: dict[int, list] = {}
         for batch in batches:
-            dest = batch.column("dest").to_numpy()
-            ready = batch.filter(pa.array(dest < 0))
-            if ready.num_rows:
-                yield pa.record_batch([pa.array((-1 - dest[dest < 0]).astype(np.int32)), ready.column("docs"), ready.column("keys")], names=["slot", "docs", "keys"])
-            for to, docs, keys in zip(dest.tolist(), batch.column("docs").to_pylist(), batch.column("keys").to_pylist(), strict=True):
-                if to >= 0:
-                    sent.setdefault(to, []).append((docs, keys))
-        for parts in sent.values():  # keys of 32 bits mean the same in one bucket only
+            for to, docs, keys in zip(batch.column("dest").to_pylist(), batch.column("docs").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                sent.setdefault(max(to, -1), []).append((docs, keys))
+        found = []
+        for to, parts in sent.items():  # keys of 32 bits mean the same in one bucket only
             docs, keys = np.frombuffer(b"".join(d for d, _ in parts), dtype=np.int64), np.frombuffer(b"".join(k for _, k in parts), dtype=kind)
-            keys, docs, _, known = _shared(keys, docs, later_only)
-            if known.any():
-                yield _packed(_slots_of(docs[known], slots), docs[known], keys[known], "slot")
+            if to >= 0:
+                keys, docs, _, known = _shared(keys, docs, later_only)
+                docs, keys = docs[known], keys[known]
+            found.append((docs, keys))
+        if found:
+            docs, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield _packed(_slots_of(docs, slots), docs, keys, "slot")
 
     return run
 
