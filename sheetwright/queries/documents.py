@@ -13,7 +13,7 @@ from sheetwright.sources import ingest
 _r = Registry()
 QUERIES, ORACLES = _r.queries, _r.oracles
 
-_PARAS = "SELECT doc_id, generate_subscripts(l, 1) - 1 AS p, unnest(l) AS text FROM (SELECT doc_id, string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents)"
+_PARAS = "SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS p, unnest(l) AS text FROM (SELECT doc_id, string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents)"
 
 
 @_r.add(f"SELECT doc_id, p, text FROM ({_PARAS})")
@@ -157,7 +157,7 @@ def note_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_model.note_labels(e, ["user_id"], "event_id", "mark").select("event_id", "label", "number")
 
 
-@_r.add("""WITH n AS (SELECT event_id, event_type, sum((event_type <> 'view')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) SELECT event_id, CASE WHEN event_type <> 'view' THEN k END AS line_number, event_type <> 'view' AND k % 5 = 0 AS shown FROM n""")
+@_r.add("""WITH n AS (SELECT event_id, event_type, sum((event_type <> 'view')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) SELECT event_id, CASE WHEN event_type <> 'view' THEN k END::BIGINT AS line_number, event_type <> 'view' AND k % 5 = 0 AS shown FROM n""")
 def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return text_model.line_numbers(e, ["user_id"], "event_id", F.col("event_type") != "view", every=5).select("event_id", "line_number", "shown")
