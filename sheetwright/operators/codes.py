@@ -46,7 +46,7 @@ def content_tokens(text: Column, note: Column | None = None) -> Column:
     def token(x: Column) -> Column:
         hexed = F.concat(F.lit("\\u{"), F.lpad(F.hex(F.ascii(x)), 4, "0"), F.lit("}"))
         escape = F.when(x.isin("\\", "[", "]"), F.concat(F.lit("\\"), x)).otherwise(hexed)
-        structure = F.when(x == "\t", "[Tab]").when(x == " ", "[Line Break]").when(x == "￼", mark)
+        structure = F.when(x == "\t", "[Tab]").when(x == "\u2028", "[Line Break]").when(x == "\ufffc", mark)
         plain = ~x.rlike(f"^{_SPECIAL}$")
         kind = F.when(plain, "Text").when(structure.isNotNull(), "StructureCode").otherwise("Escape")
         shown = F.when(plain, x).otherwise(F.coalesce(structure, escape))

@@ -110,12 +110,13 @@ def apply_style(runs: DataFrame, keys: list[str], begin: Column, end: Column, pa
 
 # -- boundaries
 
-#: Character classes.
-CJK = r"[⺀-⿿　-〿぀-ヿ㄀-ㄯ㄰-㆏㆐-㇯㈀-䶿一-鿿ꥠ-꥿가-퟿豈-﫿︰-﹏＀-￯]"
-NOT_BEFORE = r"[!%),.:;?\]}¢°’”†‡›℃∶、。〃々〉》」』】〕〗〙〛！％），．：；？］｝～]"
-NOT_AFTER = r"[$(\[{£¥‘“‹〈《「『【〔〖〘〚＄（［｛￡￥]"
-BREAKING_SPACE = r"[\t  ᠎ - ​  　]"
-KEEPING_SPACE = r"[   ⁠﻿]"
+# Character classes, as patterns.
+MANDATORY_BREAK = r"[\n\r\x{2028}\x{2029}]"
+BREAKING_SPACE = r"[ \t\x{3000}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{200B}\x{00AD}]"
+KEEPING_SPACE = r"[\x{00A0}\x{202F}\x{2007}\x{2060}\x{FEFF}]"
+CJK = r"[\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}]"
+NOT_BEFORE = r"[)\]}»”’,.!?;:、。）】』」〉》]"
+NOT_AFTER = r"[(\[{«“‘（【『「〈《]"
 
 
 def graphemes(text: Column) -> Column:
@@ -124,7 +125,7 @@ def graphemes(text: Column) -> Column:
 
 
 def boundary_classes(text: Column) -> Column:
-    """For each cluster what follows it: Mandatory, WordBreak or Grapheme.
+    """What follows each cluster: Mandatory, WordBreak, None (a space that keeps words together) or Grapheme.
 
     Each cluster is looked at with its follower; the clusters are found once for a text.
     """
@@ -132,11 +133,9 @@ def boundary_classes(text: Column) -> Column:
 
     def judge(pair: Column) -> Column:
         x, after = pair["x"], pair["after"]
-        hard = x.rlike(r"[\r\n\x{0B}\x{0C}\x{85}\x{2028}\x{2029}]")
-        ascii_pair = (x <= "~") & (after <= "~")
-        wide = ~ascii_pair & (after != "") & (x.rlike(f"^{CJK}") | after.rlike(f"^{CJK}")) & ~after.rlike(f"^{NOT_BEFORE}") & ~x.rlike(f"^{NOT_AFTER}")
-        space = x.isin(" ", "\t") | (~ascii_pair & x.rlike(f"^{BREAKING_SPACE}"))
-        return F.when(hard, "Mandatory").when(space | wide, "WordBreak").otherwise("Grapheme")
+        plain = x.between("!", "~")  # most text needs no pattern
+        wide = x.rlike(f"^{CJK}") & ~after.rlike(f"^{NOT_BEFORE}")
+        return F.when(plain, "Grapheme").when(x.rlike(f"^{MANDATORY_BREAK}"), "Mandatory").when(x.rlike(f"^{BREAKING_SPACE}"), "WordBreak").when(x.rlike(f"^{KEEPING_SPACE}"), "None").when(wide, "WordBreak").otherwise("Grapheme")
 
     return F.transform(pairs, judge)
 
