@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetwright.llm import ann, chat_format, decontaminate, language_id, ngram_join, packing, secret_scan, substring_dedup, token_files, url_filter
+from sheetwright.llm import ann, chat_format, decontaminate, language_id, ngram_join, oracles, packing, secret_scan, substring_dedup, token_files, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_ngram_jaccard": oracles.NGRAM_JOIN,
+    "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_url_filter": url_filter.ORACLE_SQL,
     "op10_chat_format": chat_format.ORACLE_SQL,
 }
