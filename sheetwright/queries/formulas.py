@@ -18,11 +18,11 @@ QUERIES, ORACLES = _r.queries, _r.oracles
 _LINE = {"qty": "l_quantity", "price": "l_extendedprice", "disc": "l_discount", "tax": "l_tax"}
 
 
-@_r.add("SELECT l_returnflag, sum(l_extendedprice) FILTER (WHERE l_quantity > 25) AS revenue, count(*) FILTER (WHERE l_quantity > 25)::DOUBLE AS n_lines FROM lineitem GROUP BY 1")
+@_r.add("SELECT l_returnflag, round(sum(l_extendedprice) FILTER (WHERE l_quantity > 25), 2) AS revenue, count(*) FILTER (WHERE l_quantity > 25)::DOUBLE AS n_lines FROM lineitem GROUP BY 1")
 def formula_sumif_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")
     c = Compiler(df, _LINE)
-    return df.groupBy("l_returnflag").agg(c.aggregate_number('=SUMIF(qty,">25",price)').alias("revenue"), c.aggregate_number('=COUNTIF(qty,">25")').alias("n_lines"))
+    return df.groupBy("l_returnflag").agg(F.round(c.aggregate_number('=SUMIF(qty,">25",price)'), 2).alias("revenue"), c.aggregate_number('=COUNTIF(qty,">25")').alias("n_lines"))
 
 
 @_r.add("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, -l_quantity + 2.0 * 3.0 AS shifted, l_discount / 100 AS part FROM lineitem")
@@ -142,20 +142,20 @@ def match_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_r.add("""SELECT l_orderkey, l_linenumber, coalesce(sum(l_quantity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
  coalesce(max(l_extendedprice) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS below, (count(l_quantity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::DOUBLE AS n_above
- FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)""")
+ FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)""")
 def directional_above_below(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")
     c = Compiler(df, _LINE)
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     return df.select("l_orderkey", "l_linenumber", c.over_rows("=SUM(ABOVE)", w, "qty").col.alias("above"), c.over_rows("=MAX(BELOW)", w, "price").col.alias("below"), c.over_rows("=COUNT(ABOVE)", w, "qty").col.alias("n_above"))
 
 
-@_r.add("""WITH u AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest([0, 1, 2, 3]) AS col, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, col, coalesce(sum(v) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_sum, coalesce(min(v) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS right_min
-FROM u WINDOW w AS (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY col)""")
+@_r.add("""WITH u AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, unnest([0, 1, 2, 3]) AS col, unnest([l_quantity, l_linenumber::DOUBLE, (l_partkey % 100)::DOUBLE, (l_suppkey % 10)::DOUBLE]) AS v FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, col, coalesce(sum(v) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_sum, coalesce(min(v) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS right_min
+FROM u WINDOW w AS (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity ORDER BY col)""")
 def directional_left_right(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    cells = table(spark, sf_dir, "lineitem").select(*keys, F.posexplode(F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax")).alias("col", "v"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+    cells = table(spark, sf_dir, "lineitem").select(*keys, F.posexplode(F.array("l_quantity", F.col("l_linenumber").cast("double"), (F.col("l_partkey") % 100).cast("double"), (F.col("l_suppkey") % 10).cast("double"))).alias("col", "v"))
     c = Compiler(cells)
     w = Window.partitionBy(*keys).orderBy("col")
     return cells.select(*keys, "col", c.over_rows("=SUM(LEFT)", w, "v").col.alias("left_sum"), c.over_rows("=MIN(RIGHT)", w, "v").col.alias("right_min"))

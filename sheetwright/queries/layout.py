@@ -150,7 +150,7 @@ def sheet_column_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.column_runs(columns, 400.0)
 
 
-@_r.add("""WITH h AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_partkey, l_suppkey) AS h FROM lineitem GROUP BY 1), f AS (SELECT l_orderkey, len(h) AS n, len(list_filter(list_transform(range(1, len(h) + 1), lambda i: list_sum(h[1:i])), lambda s: s <= 100.001)) AS fit FROM h),
+@_r.add("""WITH h AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS h FROM lineitem GROUP BY 1), f AS (SELECT l_orderkey, len(h) AS n, len(list_filter(list_transform(range(1, len(h) + 1), lambda i: list_sum(h[1:i])), lambda s: s <= 100.001)) AS fit FROM h),
  w AS (SELECT *, CASE WHEN n - fit < 2 THEN greatest(0, n - 2) ELSE fit END AS kept FROM f) SELECT l_orderkey, (CASE WHEN fit = n THEN fit WHEN kept < 2 THEN 0 ELSE kept END)::INT AS lines FROM w""")
 def lines_that_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
