@@ -24,7 +24,7 @@ from sheetwright.llm.textcore import CHUNK, Words, spaced_units, words
 _WIDE_SPACE = b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 
 #: Units kept by a worker.
-MEMO_UNITS = 900_000
+MEMO_UNITS = 1_600_000
 
 
 def _keeps_space(spec: dict) -> bool | None:
@@ -65,16 +65,21 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _many(self, units: list[str]) -> list[np.ndarray]:
-        """ids of short units, which go to the library in one text with special tokens between them."""
-        mark, out = self.tokenizer.token_to_id(self.border), []
+    def _many(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of short units in a row, and how many each has. They go to the library in one text, special tokens between them."""
+        mark, flat, sizes = self.tokenizer.token_to_id(self.border), [], []
         for k in range(0, len(units), 512):
             some = units[k : k + 512]
             (ids,) = self.whole([self.border.join(some)])
-            parts = np.split(ids, np.flatnonzero(ids == mark))
-            parts[1:] = [p[1:] for p in parts[1:]]
-            out += parts if len(parts) == len(some) else self.whole(some)
-        return out
+            marks = np.flatnonzero(ids == mark)
+            if len(marks) == len(some) - 1:
+                sizes.append(np.diff(marks, prepend=-1, append=len(ids)) - 1)
+                flat.append(np.delete(ids, marks))
+            else:
+                parts = self.whole(some)
+                sizes.append(np.array([len(p) for p in parts], dtype=np.int64))
+                flat += parts
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def _known(self, keys: np.ndarray, text_of) -> np.ndarray:
         """Places in the memo of distinct keys; unknown ones are encoded first."""
@@ -84,12 +89,11 @@ class Encoder:
         at = np.fromiter(map(self.memo.get, listed, itertools.repeat(-1)), dtype=np.int64, count=len(listed))
         new = np.flatnonzero(at < 0)
         if len(new):
-            parts = self._many([text_of(k) for k in new.tolist()])
-            size = np.array([len(p) for p in parts], dtype=np.int64)
-            base, total = len(self.memo), int(size.sum())
+            ids, size = self._many([text_of(k) for k in new.tolist()])
+            base, total = len(self.memo), len(ids)
             self.flat = _room(self.flat, self.filled + total)
             self.first, self.size = _room(self.first, base + len(new)), _room(self.size, base + len(new))
-            self.flat[self.filled : self.filled + total] = np.concatenate(parts)
+            self.flat[self.filled : self.filled + total] = ids
             self.size[base : base + len(new)] = size
             self.first[base : base + len(new)] = self.filled + np.cumsum(size) - size
             self.filled += total
