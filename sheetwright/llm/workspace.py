@@ -2,7 +2,7 @@
 
 Everything an operator has to keep between jobs is written as Parquet below
 ``spark.checkpoint.dir``, which the driver and all executors see. Where the
-setting is missing (tests, a laptop) a folder of this process is used.
+setting is missing, a local master (tests, a laptop) uses a folder of its own.
 """
 
 from __future__ import annotations
@@ -10,32 +10,18 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    _shipped.add(context.applicationId)
-    package = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="sheetwright-"), "sheetwright.zip")
-    with zipfile.ZipFile(target, "w") as bundle:
-        for source in sorted(package.rglob("*.py")):
-            bundle.write(source, source.relative_to(package.parent))
-    context.addPyFile(target)
+from sheetwright.shipping import ship
 
 
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = os.path.join(tempfile.gettempdir(), f"sheetwright-{os.getpid()}")
     os.makedirs(local, exist_ok=True)
     return f"file://{local}"
