@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheetwright.functions import numbering
 from sheetwright.operators import codes, lists, text_model
-from sheetwright.queries.registry import Registry, table
+from sheetwright.queries.registry import Registry, numbers, table
 from sheetwright.sources import ingest
 
 _r = Registry()
@@ -248,7 +248,7 @@ def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_r.add()
 def circled_greek_hebrew_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.range(1, 101)
+    n = numbers(spark, 1, 101)
     return n.select(F.col("id").alias("value"), *[numbering.column(F.col("id"), k).alias(k) for k in ("CircledNumber", "GreekLower", "HebrewNumber", "IdeographCounting")])
 
 
@@ -256,5 +256,5 @@ def circled_greek_hebrew_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
  n AS (SELECT i, CASE WHEN i = 100 THEN 'one hundred' WHEN i < 20 THEN u.w WHEN i % 10 = 0 THEN t.w ELSE t.w || '-' || d.w END AS w FROM range(1, 101) r(i) LEFT JOIN u ON u.k = i LEFT JOIN t ON t.k = i // 10 LEFT JOIN u d ON d.k = i % 10)
 SELECT i AS value, upper(left(w, 1)) || substr(w, 2) AS words FROM n""")
 def cardinal_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.range(1, 101)
+    n = numbers(spark, 1, 101)
     return n.select(F.col("id").alias("value"), numbering.column(F.col("id"), "CardinalText").alias("words"))

@@ -10,7 +10,7 @@ from sheetwright.functions import values as V
 from sheetwright.operators import lookups
 from sheetwright.plans import recalc
 from sheetwright.plans.columns import Compiler
-from sheetwright.queries.registry import Registry, table
+from sheetwright.queries.registry import Registry, numbers, table
 
 _r = Registry()
 QUERIES, ORACLES = _r.queries, _r.oracles
@@ -210,7 +210,7 @@ def column_letters(n):
 
 @_r.add("SELECT i AS index, CASE WHEN i < 26 THEN chr((65 + i)::INT) ELSE chr((64 + i // 26)::INT) || chr((65 + i % 26)::INT) END AS letters, CASE WHEN i < 26 THEN chr((65 + i)::INT) ELSE chr((64 + i // 26)::INT) || chr((65 + i % 26)::INT) END || (i + 1) AS address FROM range(0, 702) t(i)")
 def a1_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.range(702)
+    n = numbers(spark, 702)
     letters = column_letters(F.col("id"))
     return n.select(F.col("id").alias("index"), letters.alias("letters"), F.concat(letters, (F.col("id") + 1).cast("string")).alias("address"))
 
@@ -223,14 +223,14 @@ FROM range(1, 201) r(i) JOIN d ON d.k = i % 10 JOIN t ON t.k = i // 10 % 10"""
 
 @_r.add(_ROMAN_SQL)
 def format_roman_letters_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, c = spark.range(1, 201), numbering.column
+    n, c = numbers(spark, 1, 201), numbering.column
     return n.select(F.col("id").alias("value"), c(F.col("id"), "LowerRoman").alias("roman"), c(F.col("id"), "LowerLetter").alias("letter"), c(F.col("id"), "Ordinal").alias("ordinal"), c(F.col("id"), "DecimalZero3").alias("padded"))
 
 
 @_r.add()
 def number_formats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every number format, 1 to 200."""
-    n = spark.range(1, 201)
+    n = numbers(spark, 1, 201)
     return n.select(F.col("id").alias("value"), *[numbering.column(F.col("id"), name).alias(name) for name in numbering.FORMATS])
 
 

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbers(spark: SparkSession, *bounds: int) -> DataFrame:
+    """A column ``id`` of whole numbers, like ``spark.range``."""
+    ship(spark)
+    return spark.range(*bounds)
+
+
 class Registry:
     """Collects functions (spark, sf_dir) by name, with DuckDB SQL where there is any."""
 
