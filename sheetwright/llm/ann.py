@@ -13,8 +13,8 @@ The quantiser is fitted on a bounded sample (``sample`` vectors, by a hash of
 vec_id). Every valid row is indexed. Queries go out in blocks of
 ``query_block``, so what is sent is bounded; each block is one pass over codes
 of a few bytes a row. Copies of one vector would crowd out other candidates, so
-of equal vectors only the ``k`` + 1 smallest ids stand for a query, which is
-all that a result of ``k`` can hold.
+of equal vectors the index holds only the ``k`` + 1 smallest ids, once each,
+which is all that a result of ``k`` and the query itself can take.
 
 Edge cases: vectors that are null or zero, hold null or non-finite components
 or have another size than most are neither queries nor candidates; rows with a
@@ -145,16 +145,16 @@ def encode(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
     return vectors.mapInArrow(run, CODED)
 
 
-def _few_copies(key: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
-    """Rows that are among the ``most`` smallest ids of their key."""
-    order = np.lexsort((ids, key))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = key[order][1:] != key[order][:-1]
-    rank = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    return np.sort(order[rank < most])
+def few_copies(coded: DataFrame, most: int) -> DataFrame:
+    """Rows of the ``most`` smallest ids of each vector_key, one row for each id.
+
+    Tasks cut their own rows to ``most`` ids a key before the exchange, so a key with many copies stays small.
+    """
+    place = F.dense_rank().over(Window.partitionBy("vector_key").orderBy("vec_id"))
+    return coded.withColumn("place", place).where(F.col("place") <= most).drop("place").dropDuplicates(["vector_key", "vec_id"]).select(*coded.columns)
 
 
-def scan(index: DataFrame, query_ids: np.ndarray, tables: np.ndarray, rerank: int, k: int) -> DataFrame:
+def scan(index: DataFrame, query_ids: np.ndarray, tables: np.ndarray, rerank: int) -> DataFrame:
     """Each task's best candidates of every query of a block."""
     sent = index.sparkSession.sparkContext.broadcast((query_ids, tables))
 
@@ -166,9 +166,8 @@ def scan(index: DataFrame, query_ids: np.ndarray, tables: np.ndarray, rerank: in
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 own, key, norm = (part.column(c).to_numpy() for c in ("vec_id", "vector_key", "norm"))
-                keep = _few_copies(key, own, k + 1)
-                own, key, norm = own[keep], key[keep], norm[keep].astype(np.float32)
-                code = np.frombuffer(b"".join(part.column("code").to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)[keep]
+                norm = norm.astype(np.float32)
+                code = np.frombuffer(b"".join(part.column("code").to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
                 score = np.repeat(norm[None], len(query_ids), axis=0)
                 for m in range(code.shape[1]):
                     score += tables[:, m][:, code[:, m]]
@@ -199,7 +198,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 10, rerank: int =
         return spark.createDataFrame([], schema)
     part = vectors if n <= sample else vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     quantiser = fit(_matrix(part.toArrow().column("v").combine_chunks()))
-    index = space.save(encode(vectors, quantiser), "codes")
+    index = space.save(few_copies(encode(vectors, quantiser), k + 1), "codes")
 
     asked = valid(queries).where(F.size("v") == quantiser.size).dropDuplicates(["vec_id"])
     near = None
@@ -207,7 +206,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 10, rerank: int =
 
     def flush(near):
         ids = np.array([r["vec_id"] for r in block], dtype=np.int64)
-        found = scan(index, ids, quantiser.tables(np.array([r["v"] for r in block])), rerank + k, k)
+        found = scan(index, ids, quantiser.tables(np.array([r["v"] for r in block])), rerank + k)
         return found if near is None else near.union(found)
 
     for row in asked.toLocalIterator():

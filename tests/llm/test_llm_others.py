@@ -5,7 +5,9 @@ import re
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sheetwright.llm import ann, chat_format, components, packing, secret_scan, url_filter
@@ -87,6 +89,26 @@ def test_vectors_edge_cases(spark):
     assert ann.search(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_copies_of_a_vector_over_many_slices_of_a_task(spark):
+    """A hot vector in a third of 99,000 rows of one task, with the smallest ids last, and neighbours just beyond it."""
+    random = np.random.default_rng(5)
+    x = random.normal(size=(99_000, 8))
+    hot = np.arange(0, 99_000, 3)
+    x[hot] = 4.0
+    x[90_001:90_061:3] = 4.0 + random.normal(size=(20, 8)) * 0.01
+    ids = np.arange(99_000)[::-1]
+    frame = spark.createDataFrame(pa.table({"vec_id": pa.array(ids), "embedding": pa.array(list(x), pa.list_(pa.float64()))})).coalesce(1)
+    own, near = int(ids[hot[500]]), int(ids[90_001])
+    queries = frame.where(F.col("vec_id").isin(own, near))
+    got = {}
+    for r in ann.search(frame, queries).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in (own, near):
+        assert got[q] == [v for v, _ in _nearest(x, ids, q)]
+    coded = spark.createDataFrame([(k % 40, b"c", 1.0, 7) for k in range(400)], ann.CODED)
+    assert sorted(r["vec_id"] for r in ann.few_copies(coded, 11).collect()) == list(range(11))
+
+
 # -- 8: urls
 
 
