@@ -34,8 +34,10 @@ PARAGRAPH_CODES = (("alignment", "Align", "Left"), ("list_kind", "List", "None")
 #: Most characters of a quoted value; limits of a projection.
 MOST_QUOTED, MOST_CHARS, MOST_TOKENS = 8_192, 16 * 1024 * 1024, 2_000_000
 
-_SPECIAL = r"[\t\x{2028}\x{FFFC}\\\[\]\p{Cc}\p{Cf}\p{Zl}\p{Zp}]"
-_PARTS = rf"{_SPECIAL}|[^\t\x{{2028}}\x{{FFFC}}\\\[\]\p{{Cc}}\p{{Cf}}\p{{Zl}}\p{{Zp}}]+"
+#: Format characters of 16 bits; pairs of surrogates are text.
+_FORMAT = r"\x{AD}\x{600}-\x{605}\x{61C}\x{6DD}\x{70F}\x{890}\x{891}\x{8E2}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}\x{FFF9}-\x{FFFB}"
+_SPECIAL = rf"[\t\x{{2028}}\x{{FFFC}}\\\[\]\p{{Cc}}\p{{Zl}}\p{{Zp}}{_FORMAT}]"
+_PARTS = rf"{_SPECIAL}|[^{_SPECIAL[1:-1]}]+"
 _TOKEN = "array<struct<kind:string,text:string,size:int,mode:string>>"
 
 

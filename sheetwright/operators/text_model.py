@@ -129,7 +129,7 @@ def boundary_classes(text: Column) -> Column:
 
     Each cluster is looked at with its follower; the clusters are found once for a text.
     """
-    pairs = F.get(F.transform(F.array(graphemes(text)), lambda g: F.arrays_zip(g.alias("x"), F.concat(F.slice(g, 2, F.greatest(F.size(g) - 1, F.lit(0))), F.array(F.lit(""))).alias("after"))), 0)
+    pairs = F.get(F.transform(F.array(graphemes(text)), lambda g: F.arrays_zip(g.alias("x"), F.slice(F.concat(F.slice(g, 2, F.greatest(F.size(g) - 1, F.lit(0))), F.array(F.lit(""))), F.lit(1), F.size(g)).alias("after"))), 0)
 
     def judge(pair: Column) -> Column:
         x, after = pair["x"], pair["after"]

@@ -81,8 +81,9 @@ def style_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_r.add("SELECT doc_id, length(regexp_replace(text, '[^ \t]', '', 'g'))::BIGINT AS word_breaks, length(regexp_replace(text, '[^\n]', '', 'g'))::BIGINT AS mandatory, length(text)::BIGINT AS clusters FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^ -~\n\tÀ-ÿ]')")
 def boundary_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text is not null").where(~F.col("text").rlike("[^ -~\n\tÀ-ÿ]"))
-    kinds = d.select("doc_id", text_model.boundary_classes(F.col("text")).alias("k"))
+    """Counts for every document; a null text is an empty one. The SQL can only speak for texts of plain characters."""
+    d = table(spark, sf_dir, "documents")
+    kinds = d.select("doc_id", text_model.boundary_classes(F.coalesce("text", F.lit(""))).alias("k"))
     count = lambda name: F.size(F.filter("k", lambda x: x == name)).cast("long")
     return kinds.select("doc_id", count("WordBreak").alias("word_breaks"), count("Mandatory").alias("mandatory"), F.size("k").cast("long").alias("clusters"))
 
@@ -92,9 +93,9 @@ _ESCAPE = r"replace(replace(replace(replace({0}, '\', '\\'), '[', '\['), ']', '\
 
 @_r.add(f"SELECT doc_id, p, {_ESCAPE.format('text')} AS projected FROM ({_PARAS}) WHERE NOT regexp_matches(text, '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x9F\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{2028}}-\\x{{202E}}\\x{{FEFF}}\\x{{FFFC}}]')")
 def format_codes_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph; a null text is one empty paragraph. The SQL can only speak for those without control and format characters."""
     paras = text_model.paragraphs(table(spark, sf_dir, "documents"))
-    plain = paras.where(~F.col("text").rlike(r"[\x00-\x08\x0B-\x1F\x7F-\x9F\x{AD}\x{200B}-\x{200F}\x{2028}-\x{202E}\x{FEFF}\x{FFFC}]"))
-    return plain.select("doc_id", "p", codes.escaped(F.col("text")).alias("projected"))
+    return paras.select("doc_id", "p", codes.escaped(F.col("text")).alias("projected"))
 
 
 def _projection(spark: SparkSession, sf_dir: str) -> DataFrame:
