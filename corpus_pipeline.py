@@ -16,14 +16,14 @@ from sheetwright.llm.workspace import Workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: Below this share of its letters in one language, a document is rejected.
+#: Below this share of its letters, of whatever script, in one language, a document is rejected.
 LEAST_SHARE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letters, or none with a real share of them. lang becomes the prediction."""
     model = language_id.fit(docs.select("doc_id", "text", "lang").where(~language_id.held_out()))
-    return language_id.judged(docs, model).where((F.col("lang_pred") != language_id.UND) & (F.col("lang_score") >= LEAST_SHARE)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    return language_id.judged(docs, model).where((F.col("lang_pred") != language_id.UND) & (F.col("lang_share") >= LEAST_SHARE)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -204,7 +204,7 @@ def _scores(model: Model, w) -> tuple[np.ndarray, np.ndarray]:
         none = ~can.any(axis=1) | (letters == 0)
         score = np.where(can, score - np.where(can, score, -np.inf).max(axis=1, keepdims=True, initial=-1e30), -1e4)
         score[none] = 0
-        weight = np.where(none, 0, letters) + np.where(none & (letters > 0), 1 << 40, 0)  # letters of unlearned scripts, kept apart
+        weight = letters + np.where(none & (letters > 0), 1 << 40, 0)  # letters of unlearned scripts, kept apart
         if base + len(new) > len(model.held[1]):
             room = max(2 * len(model.held[1]), base + len(new), 1 << 14)
             model.held = [np.resize(model.held[0], (room, len(model.langs))), np.resize(model.held[1], room)]
@@ -288,35 +288,39 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            names, share, spans = _judge(model, batch.column("text"))
+            names, share, spans, _ = _judge(model, batch.column("text"))
             yield pa.record_batch([batch.column("doc_id"), names, share, spans], names=["doc_id", "lang_pred", "score", "n_spans"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, LABELLED)
 
 
 def judged(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and lang_score beside its own columns, in one pass and without a join."""
+    """``docs`` with lang_pred, lang_score and lang_share beside its own columns, in one pass and without a join.
+
+    lang_score is the language's share of the letters in learned scripts, lang_share its share of all letters.
+    """
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            names, share, _ = _judge(model, batch.column("text"))
-            yield pa.record_batch([*batch.columns, names, share], names=[*batch.schema.names, "lang_pred", "lang_score"])
+            names, share, _, of_all = _judge(model, batch.column("text"))
+            yield pa.record_batch([*batch.columns, names, share, of_all], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_share"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_share", DoubleType())]))
 
 
-def _judge(model: Model, column) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """Language, share and number of spans of each row of a text column."""
+def _judge(model: Model, column) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """Language, share, number of spans and share of all letters of each row of a text column. A word is of its main script."""
     k, n = len(model.langs), len(column)
     fallback = model.langs[int(model.prior.argmax())] if k else UND
-    names, share, spans = [UND] * n, np.zeros(n), np.zeros(n, dtype=np.int32)
+    names, share, spans, of_all = [UND] * n, np.zeros(n), np.zeros(n, dtype=np.int32), np.zeros(n)
     for w in words(column) if k else ():
         labels, weight = _label(model, w)
         rows = w.last - w.first
         row_of = np.repeat(np.arange(rows), np.diff(w.offsets))
         known = np.where(weight < 1 << 40, weight, 0)
         total = np.bincount(row_of * k + labels, weights=known, minlength=rows * k).reshape(rows, k)
+        letters = np.bincount(row_of, weights=weight & (1 << 40) - 1, minlength=rows)
         strange = np.bincount(row_of, weights=weight >= 1 << 40, minlength=rows) > 0
         sums, top = total.sum(axis=1), total.argmax(axis=1)
         turn = np.ones(len(labels), dtype=bool)
@@ -324,9 +328,10 @@ def _judge(model: Model, column) -> tuple[pa.Array, pa.Array, pa.Array]:
         spans[w.first : w.last] = np.bincount(row_of, weights=turn, minlength=rows)
         for r in np.flatnonzero(sums > 0).tolist():
             names[w.first + r], share[w.first + r] = model.langs[top[r]], total[r, top[r]] / sums[r]
+            of_all[w.first + r] = total[r, top[r]] / letters[r]
         for r in np.flatnonzero((sums == 0) & strange).tolist():
             names[w.first + r] = fallback
-    return pa.array(names, pa.string()), pa.array(share), pa.array(spans)
+    return pa.array(names, pa.string()), pa.array(share), pa.array(spans), pa.array(of_all)
 
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:

@@ -53,3 +53,12 @@ def test_pipeline_equals_a_plain_version(spark):
     for r in corpus_pipeline.run(spark, SF).orderBy("doc_id", "start").collect():
         got.setdefault(r["doc_id"], []).append((r["start"], r["ids_crc32"], r["doc_tokens"]))
     assert got == want
+
+
+def test_letters_of_unlearned_scripts_count(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = docs.where("lang = 'en' and length(text) > 300").first()["text"][:200]
+    odd = [(900_001, "\u4e2d\u6587 " * 5000 + "because"), (900_002, text + " \u4e2d\u6587"), (900_003, "\u4e2d\u6587 " * 5000)]
+    both = docs.unionByName(spark.createDataFrame([(k, t, None, "x", len(t)) for k, t in odd], docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, both, SF).where("doc_id > 900000").collect()}
+    assert kept == {900_002}
