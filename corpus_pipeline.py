@@ -26,17 +26,36 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.judged(docs, model).where((F.col("lang_pred") != language_id.UND) & (F.col("lang_share") >= LEAST_SHARE)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` with row_key, a hash of ``columns`` and of which of them are null: ids may be null or repeated."""
+    return docs.withColumn("row_key", F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies; documents without words are alone."""
-    classes = ngram_join.classes(docs)
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of near copies, that with the smallest id; documents without words are alone.
+
+    Null ids come last; among rows with one id one stays, and rows that agree in all columns are one row repeated.
+    """
+    rows = _keyed(docs, *COLUMNS)
+    found = ngram_join.classes(rows.select(F.col("row_key").alias("doc_id"), "text")).where("n_shingles > 0")
+    members = found.groupBy(F.col("doc_id").alias("row_key")).agg(F.first("component_id").alias("component_id"), F.count("*").alias("n_rows"))
+    members = members.join(rows.groupBy("row_key").agg(F.min("doc_id").alias("doc_id")), "row_key")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first"))
+    stays = F.col("first")["row_key"] == F.col("row_key")
+    decided = members.join(first, "component_id").where(~stays | (F.col("n_rows") > 1)).select("row_key", stays.alias("stays"))
+    decided = Workspace(spark, "near-duplicates").save(decided, "decided")
+    out = rows.join(decided, "row_key", "left_anti").select(*COLUMNS)
+    repeated = decided.where("stays")
+    if repeated.isEmpty():
+        return out
+    return out.union(rows.join(repeated, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Drops documents that hold a passage of the benchmark. The text alone decides, whatever the id."""
+    rows = _keyed(docs, "text")
+    found = decontaminate.contaminated(rows.select(F.col("row_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.select(F.col("doc_id").alias("row_key")).distinct(), "row_key", "left_anti").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

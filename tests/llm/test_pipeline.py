@@ -62,3 +62,21 @@ def test_letters_of_unlearned_scripts_count(spark):
     both = docs.unionByName(spark.createDataFrame([(k, t, None, "x", len(t)) for k, t in odd], docs.schema))
     kept = {r["doc_id"] for r in corpus_pipeline.language(spark, both, SF).where("doc_id > 900000").collect()}
     assert kept == {900_002}
+
+
+def test_null_and_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    passage = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    words = [" ".join(f"{letter}{k}" for k in range(200)) for letter in "abcde"]
+
+    def stage(name, rows):
+        given = spark.createDataFrame([(d, t, "en", "x", 1) for d, t in rows], docs.schema)
+        return sorted(((r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)[name](spark, given, SF).collect()), key=repr)
+
+    near = words[0] + " more"
+    rows = [(None, words[0]), (None, near), (None, words[1]), (9, words[1]), (8, words[1] + " more"), (5, words[2]), (5, words[2]), (5, words[3]), (6, words[4]), (6, words[4] + " more"), (7, " "), (7, " ")]
+    got = stage("near_duplicates", rows)
+    assert got in [sorted([(None, a), (8, words[1] + " more"), (5, words[2]), (5, words[3]), (6, b), (7, " "), (7, " ")], key=repr) for a in (words[0], near) for b in (words[4], words[4] + " more")]
+
+    rows = [(None, f"so {passage} it"), (None, words[0]), (4, f"so {passage} it"), (4, words[1]), (4, words[1])]
+    assert stage("benchmark_leaks", rows) == sorted([(None, words[0]), (4, words[1]), (4, words[1])], key=repr)
