@@ -3,6 +3,15 @@
 A word is a maximal run of bytes other than space and U+0009..U+000D. These
 separators are single bytes in UTF-8, so the work is done on the raw buffer of
 an Arrow string column, without a Python object for each word.
+
+A word's hash is a sum of its bytes, each times a 64-bit factor of its place in
+the word, mixed with the length. The factors look random and don't repeat, so
+two words that differ by structure (periods, swaps) meet no more often than any
+others, which a power of one base modulo 2**64 can't promise.
+
+Edge cases: a null text has no words, like one of separators only; a text of
+any length is cut at separators into chunks, and a word longer than a chunk is
+hashed in pieces with the same result; an empty column gives nothing.
 """
 
 from __future__ import annotations
@@ -15,9 +24,6 @@ import pyarrow as pa
 #: Bytes handled at once. Longer texts are cut at separators, and words longer than this in pieces.
 CHUNK = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -35,16 +41,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _factors_at(first: int, n: int) -> np.ndarray:
+    """Odd factors of the places first, first + 1, ... in a word."""
+    return mix64(np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 @functools.lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers and inverse powers modulo 2**64, up to CHUNK."""
+def _factors() -> np.ndarray:
+    return _factors_at(0, CHUNK)
 
-    def run(base: int) -> np.ndarray:
-        out = np.ones(CHUNK + 1, dtype=np.uint64)
-        out[1:] = np.uint64(base)
-        return np.multiply.accumulate(out)
 
-    return run(_BASE), run(pow(_BASE, -1, 1 << 64))
+def _sums(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each span of ``raw``; spans are in order, not empty, and of CHUNK bytes at most."""
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, dtype=np.uint64)
+    begin = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(begin, size)
+    data = raw[place + np.repeat(starts, size)].astype(np.uint64) + np.uint64(1)
+    return np.add.reduceat(data * _factors()[place], begin)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,11 +92,7 @@ def _hash_chunk(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after[inner - 1] = True
     starts = np.flatnonzero(before & ~separator)
     ends = np.flatnonzero(after & ~separator) + 1
-    power, inverse = _powers()
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    value = (sums[ends] - sums[starts]) * inverse[starts]
-    return value, starts, ends, np.searchsorted(starts, offsets)
+    return _sums(raw, starts, ends), starts, ends, np.searchsorted(starts, offsets)
 
 
 def _long_text(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,15 +120,12 @@ def _long_text(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _giant_word(raw: np.ndarray, at: int, values: list, starts: list, ends: list) -> int:
     """Hash the word at ``at``, which has no separator within CHUNK bytes; where it ends."""
-    power, _ = _powers()
-    total, factor, here = 0, 1, at
+    total, here = np.uint64(0), at
     while here < len(raw):
         piece = raw[here : here + CHUNK]
         cut = np.flatnonzero(_SEPARATOR[piece])
         size = int(cut[0]) if len(cut) else len(piece)
-        part = int(np.sum((piece[:size].astype(np.uint64) + np.uint64(1)) * power[:size], dtype=np.uint64))
-        total = (total + part * factor) & _MASK
-        factor = factor * pow(_BASE, size, 1 << 64) & _MASK
+        total += np.sum((piece[:size].astype(np.uint64) + np.uint64(1)) * _factors_at(here - at, size), dtype=np.uint64)
         here += size
         if len(cut):
             break
@@ -172,9 +180,8 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     if m <= 0:
         return np.zeros(0, dtype=np.uint64)
     total = np.zeros(m, dtype=np.uint64)
-    for k in range(n):
-        total *= np.uint64(_BASE)
-        total += hashes[k : k + m]
+    for k, factor in enumerate(_factors_at(0, n)):
+        total += hashes[k : k + m] * factor
     return mix64(total + np.uint64(n))
 
 
@@ -197,9 +204,5 @@ def spaced_units(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     ends = np.concatenate([w.ends, w.bounds[1:][tail]])
     order = np.argsort(row_of, kind="stable")
     row_of, starts, ends = row_of[order], starts[order], ends[order]
-    power, inverse = _powers()
-    n = len(w.raw)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((w.raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    keys = mix64(((sums[ends] - sums[starts]) * inverse[starts]) ^ mix64((ends - starts).astype(np.uint64)))
+    keys = mix64(_sums(w.raw, starts, ends) ^ mix64((ends - starts).astype(np.uint64)))
     return keys, starts, ends, np.searchsorted(row_of, np.arange(w.last - w.first + 1))

@@ -4,8 +4,14 @@ Byte-level and word-level BPE never merge across the border between a word and
 the white space after it, so the ids of a text are those of its units in a row:
 words, with the white space before them where that yields ids. Most units
 repeat, so each worker keeps their ids, by a 64-bit hash, in a memo of bounded
-size. Rows that hold an added token's string or white space beyond ASCII, and
-all rows for a tokenizer of another build, are encoded whole.
+size. The memo holds the units' bytes too, and every unit is compared with
+them; where two units share a hash, the rows are encoded whole. Rows that hold
+an added token's string or white space beyond ASCII, and all rows for a
+tokenizer of another build, are encoded whole.
+
+Edge cases: a null or empty text has the end id alone; a text of any length is
+encoded whole, one longer than a chunk on its own; repeated rows give the same
+ids; an empty column gives nothing.
 """
 
 from __future__ import annotations
@@ -23,8 +29,8 @@ from sheetwright.llm.textcore import CHUNK, Words, spaced_units, words
 #: White space beyond ASCII that the pre-tokenizers know, in UTF-8.
 _WIDE_SPACE = b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 
-#: Units kept by a worker.
-MEMO_UNITS = 1_600_000
+#: Units, and bytes of units, kept by a worker.
+MEMO_UNITS, MEMO_BYTES = 1_600_000, 1 << 26
 
 
 def _keeps_space(spec: dict) -> bool | None:
@@ -61,6 +67,8 @@ class Encoder:
         self.memo: dict[int, int] = {}
         self.flat, self.filled = np.zeros(1 << 16, dtype=np.uint32), 0
         self.first, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+        self.text, self.text_filled = np.zeros(1 << 16, dtype=np.uint8), 0
+        self.text_first, self.text_size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -81,35 +89,45 @@ class Encoder:
                 flat += parts
         return np.concatenate(flat), np.concatenate(sizes)
 
-    def _known(self, keys: np.ndarray, text_of) -> np.ndarray:
-        """Places in the memo of distinct keys; unknown ones are encoded first."""
-        if len(self.memo) + len(keys) > MEMO_UNITS:
+    def _known(self, keys: np.ndarray, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Places in the memo of distinct keys, whose units are spans of ``raw``; unknown ones are encoded first."""
+        if len(self.memo) + len(keys) > MEMO_UNITS or self.text_filled > MEMO_BYTES:
             self._reset()
         listed = keys.tolist()
         at = np.fromiter(map(self.memo.get, listed, itertools.repeat(-1)), dtype=np.int64, count=len(listed))
         new = np.flatnonzero(at < 0)
         if len(new):
-            ids, size = self._many([text_of(k) for k in new.tolist()])
+            own, own_size = _gathered(raw, starts[new], sizes[new]), sizes[new]
+            ends = np.cumsum(own_size)
+            whole = own.tobytes()
+            ids, size = self._many([whole[e - n : e].decode() for e, n in zip(ends.tolist(), own_size.tolist(), strict=True)])
             base, total = len(self.memo), len(ids)
             self.flat = _room(self.flat, self.filled + total)
-            self.first, self.size = _room(self.first, base + len(new)), _room(self.size, base + len(new))
+            self.text = _room(self.text, self.text_filled + len(own))
+            self.first, self.size, self.text_first, self.text_size = (_room(x, base + len(new)) for x in (self.first, self.size, self.text_first, self.text_size))
             self.flat[self.filled : self.filled + total] = ids
-            self.size[base : base + len(new)] = size
-            self.first[base : base + len(new)] = self.filled + np.cumsum(size) - size
+            self.text[self.text_filled : self.text_filled + len(own)] = own
+            span = slice(base, base + len(new))
+            self.size[span], self.text_size[span] = size, own_size
+            self.first[span], self.text_first[span] = self.filled + np.cumsum(size) - size, self.text_filled + ends - own_size
             self.filled += total
+            self.text_filled += len(own)
             at[new] = np.arange(base, base + len(new))
             self.memo.update(zip(keys[new].tolist(), at[new].tolist(), strict=True))
         return at
 
-    def _group(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    def _group(self, w: Words) -> tuple[np.ndarray, np.ndarray] | None:
+        """ids and row offsets; None where two units share a hash."""
         rows = w.last - w.first
         if self.spaced:  # a unit is a word with the white space before it; what is left at a row's end is one too
             keys, starts, ends, offsets = spaced_units(w)
         else:
             keys, starts, ends, offsets = w.hashes, w.starts, w.ends, w.offsets
-        raw = w.raw
         distinct, place, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        at = self._known(distinct, lambda k: raw[starts[place[k]] : ends[place[k]]].tobytes().decode())[inverse]
+        at = self._known(distinct, w.raw, starts[place], (ends - starts)[place])[inverse]
+        given = ends - starts
+        if not np.array_equal(given, self.text_size[at]) or not np.array_equal(_gathered(w.raw, starts, given), _gathered(self.text, self.text_first[at], given)):
+            return None
         size = self.size[at]
         ends_at = np.concatenate([[0], np.cumsum(size)])
         bounds = ends_at[offsets] + np.arange(rows + 1)
@@ -119,24 +137,29 @@ class Encoder:
         out[bounds[1:] - 1] = self.end
         return out, bounds
 
+    def _alone(self, column, row: int):
+        ids = np.append(self.whole([column[row].as_py() or ""])[0], np.uint32(self.end)).astype(np.uint32)
+        return row, ids, np.array([0, len(ids)])
+
+    def _splits(self, w: Words) -> bool:
+        return self.spaced is not None and self.border is not None and len(w.raw) <= CHUNK and not self.odd.search(w.raw)
+
     def encode(self, column):
         """(first row, ids, row offsets) for consecutive rows of an Arrow text column."""
         for w in words(column):
-            n = w.last - w.first
-            if self.spaced is None or self.border is None or len(w.raw) > CHUNK or self.odd.search(w.raw):
-                for k in range(w.first, w.last):
-                    one = column.slice(k, 1)
-                    text = one[0].as_py() or ""
-                    if self.spaced is None or self.border is None or self.odd.search(text.encode()) or len(w.raw) > CHUNK:
-                        ids = np.append(self.whole([text])[0], np.uint32(self.end)).astype(np.uint32)
-                        yield k, ids, np.array([0, len(ids)])
-                    else:
-                        (only,) = words(one)
-                        ids, bounds = self._group(only)
-                        yield k, ids, bounds
-            elif n:
-                ids, bounds = self._group(w)
-                yield w.first, ids, bounds
+            made = self._group(w) if self._splits(w) else None
+            if made:
+                yield w.first, *made
+                continue
+            for k in range(w.first, w.last):
+                (one,) = words(column.slice(k, 1))
+                made = self._group(one) if self._splits(one) else None
+                yield (k, *made) if made else self._alone(column, k)
+
+
+def _gathered(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of spans of ``raw``, in a row."""
+    return raw[np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)]
 
 
 def _room(array: np.ndarray, n: int) -> np.ndarray:
