@@ -10,8 +10,11 @@ language's share of the letters.
 The model is fitted on a bounded sample of labelled rows (``sample_docs``,
 chosen by a hash of doc_id) and has a fixed size for each language.
 
+A letter is what Unicode calls one; the ranges below say of which script it is.
+
 Edge cases: a null text and one without letters give ``und`` and score 0;
-digits and marks take the label around them and have no weight; words in a
+digits and marks, of whatever script, take the label around them and have no
+weight; a text of any length is labelled whole; words in a
 script that no language was learned in leave the decision to the others, and a
 text of nothing else gets the most frequent language with score 0; ties go to
 the language that sorts first; repeated rows are judged one by one; an empty
@@ -20,6 +23,7 @@ table gives no rows; with nothing to learn from, every row is ``und``.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from dataclasses import dataclass, field
 
@@ -85,13 +89,13 @@ SCRIPTS = (
 )
 _NAMES = sorted({name for _, name in SCRIPTS} - {"other"})
 _EDGES = np.array([at for at, _ in SCRIPTS])
-_SCRIPT_OF = np.array([0 if name == "other" else 1 + _NAMES.index(name) for _, name in SCRIPTS])
+_SCRIPT_OF = np.array([len(_NAMES) + 1 if name == "other" else 1 + _NAMES.index(name) for _, name in SCRIPTS])
 
 #: Buckets of hashed letter n-grams for each language.
 BUCKETS = 1 << 15
 
-#: Distinct words that a worker keeps the scores of.
-MEMO_WORDS = 600_000
+#: Distinct words, and scores of words, that a worker keeps.
+MEMO_WORDS, MEMO_SCORES = 600_000, 1 << 24
 
 UND = "und"
 LABELLED = "doc_id long, lang_pred string, score double, n_spans int"
@@ -115,17 +119,19 @@ class Model:
     held: list | None = None
 
 
-def word_features(listed: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the words' letter 1-, 2- and 3-grams, the word of each, and the words' letters and scripts.
+@functools.lru_cache(maxsize=1)
+def letter_scripts() -> np.ndarray:
+    """By code point: 0 for no letter, else the script; letters outside the ranges have a number of their own."""
+    points = np.arange(0x110000)
+    letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+    return np.where(letter, _SCRIPT_OF[np.searchsorted(_EDGES, points, side="right") - 1], 0).astype(np.uint8)
 
-    Letters are those of the listed scripts, and any other character that ``str.isalpha`` calls one.
-    """
+
+def word_features(listed: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the words' letter 1-, 2- and 3-grams, the word of each, and the words' letters and scripts."""
     text = " " + " ".join(w.lower().replace(" ", "_") for w in listed) + " "
     points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    script = _SCRIPT_OF[np.searchsorted(_EDGES, points, side="right") - 1]
-    odd = np.flatnonzero((script == 0) & (points > 0x7F))
-    if len(odd):
-        script[odd[[chr(c).isalpha() for c in points[odd].tolist()]]] = len(_NAMES) + 1
+    script = letter_scripts()[points].astype(np.int64)
     border = points == 0x20
     word = np.cumsum(border) - 1
     n = len(listed)
@@ -188,7 +194,7 @@ def _scores(model: Model, w) -> tuple[np.ndarray, np.ndarray]:
     if model.held is None:
         model.held = [np.zeros((0, len(model.langs)), dtype=np.float32), np.zeros(0, dtype=np.int64)]
     distinct, place, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
-    if len(model.memo) + len(distinct) > MEMO_WORDS:
+    if len(model.memo) + len(distinct) > min(MEMO_WORDS, MEMO_SCORES // len(model.langs)):
         model.memo.clear()
         model.held = [model.held[0][:0], model.held[1][:0]]
     keys = distinct.tolist()
@@ -218,16 +224,15 @@ def _scores(model: Model, w) -> tuple[np.ndarray, np.ndarray]:
 def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float, piece: int = 96) -> np.ndarray:
     """The best label of each row of ``scores`` when every change of label costs ``penalty``.
 
-    offsets: where each sequence begins. The sequences are cut into pieces that are
-    solved for every label before them, all at once, and then joined.
+    offsets: where each sequence begins. The sequences are cut into pieces, whose
+    values are found for every label before them, all pieces at once, and joined;
+    with the label before it known, each piece is then solved. Pieces are longer
+    where there are many labels, so memory grows with rows times labels.
     """
     n, k = scores.shape
     if not n:
         return np.zeros(0, dtype=np.int64)
-    if n * k * k > 1 << 25 and len(offsets) > 2:  # many languages: fewer sequences at once
-        half = len(offsets) // 2
-        cut = offsets[half] - offsets[0]
-        return np.concatenate([viterbi(scores[:cut], offsets[: half + 1] - offsets[0], penalty, piece), viterbi(scores[cut:], offsets[half:] - offsets[half], penalty, piece)])
+    piece = max(piece, -(-n * k * k >> 22))
     size = np.diff(offsets)
     pieces = -(-size // piece)
     seq = np.repeat(np.arange(len(size)), pieces)
@@ -236,18 +241,14 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float, piece: int
     length = np.minimum(piece, offsets[1:][seq] - begin)
     order = np.argsort(-length, kind="stable")  # so that the pieces still open stand in front
     begin_o, length_o = begin[order], length[order]
-    change = np.where(np.eye(k, dtype=bool), 0.0, -penalty)
-    back = np.zeros((piece, len(seq), k, k), dtype=np.int8)
-    best = change[None] + scores[begin_o][:, None, :]
     live_at = np.searchsorted(-length_o, -np.arange(1, piece + 1), side="right")
-    for t in range(1, int(length_o[0]) if len(length_o) else 0):
+    change = np.where(np.eye(k, dtype=bool), 0.0, -penalty)
+
+    best = change[None] + scores[begin_o][:, None, :]  # by piece, label before it and last label
+    for t in range(1, int(length_o[0])):
         live = live_at[t]
         now = best[:live]
-        top = now.argmax(axis=2)
-        jump = np.take_along_axis(now, top[:, :, None], axis=2) - penalty
-        stay = now >= jump
-        back[t, :live] = np.where(stay, np.arange(k)[None, None, :], top[:, :, None])
-        best[:live] = np.where(stay, now, jump) + scores[begin_o[:live] + t][:, None, :]
+        best[:live] = np.maximum(now, now.max(axis=2, keepdims=True) - penalty) + scores[begin_o[:live] + t][:, None, :]
     whole = np.empty_like(best)
     whole[order] = best
     # joins the pieces of each sequence; all sequences with an i-th piece at once
@@ -267,13 +268,25 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float, piece: int
         out_state[at] = state[on]
         in_state[at] = entry[at, state[on]]
         state[on] = in_state[at]
+
+    back = np.empty((n, k), dtype=np.min_scalar_type(k - 1))
+    best = change[in_state[order]] + scores[begin_o]
+    for t in range(1, int(length_o[0])):
+        live = live_at[t]
+        now, row = best[:live], begin_o[:live] + t
+        top = now.argmax(axis=1)
+        jump = np.take_along_axis(now, top[:, None], axis=1) - penalty
+        stay = now >= jump
+        back[row] = np.where(stay, np.arange(k), top[:, None])
+        best[:live] = np.where(stay, now, jump) + scores[row]
     labels = np.zeros(n, dtype=np.int64)
-    now, enter = out_state[order], in_state[order]
+    now = out_state[order]
     for t in range(int(length_o[0]) - 1, -1, -1):
         live = live_at[t]
-        labels[begin_o[:live] + t] = now[:live]
+        row = begin_o[:live] + t
+        labels[row] = now[:live]
         if t:
-            now[:live] = back[t, np.arange(live), enter[:live], now[:live]]
+            now[:live] = back[row, now[:live]]
     return labels
 
 
@@ -298,8 +311,10 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, lang_score and lang_share beside its own columns, in one pass and without a join.
 
     lang_score is the language's share of the letters in learned scripts, lang_share its share of all letters.
+    Columns of ``docs`` that have one of these names give way.
     """
     ship(docs.sparkSession)
+    docs = docs.drop("lang_pred", "lang_score", "lang_share")
 
     def run(batches):
         for batch in batches:
