@@ -3,6 +3,12 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir),
 works on all rows its predecessor kept and returns a DataFrame. All but the
 last return the columns of documents.
+
+Edge cases, for every stage: other columns than those of documents are dropped,
+whatever their names; an empty table gives no rows; texts of any length are
+judged whole. A null or empty text has no language, so the first stage drops
+it; the others, given one, keep it. Rows are judged one by one, also where ids
+are null or repeat, but for near_duplicates, which says what it does with them.
 """
 
 from __future__ import annotations
@@ -22,13 +28,14 @@ LEAST_SHARE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letters, or none with a real share of them. lang becomes the prediction."""
+    docs = docs.select(*COLUMNS)
     model = language_id.fit(docs.select("doc_id", "text", "lang").where(~language_id.held_out()))
     return language_id.judged(docs, model).where((F.col("lang_pred") != language_id.UND) & (F.col("lang_share") >= LEAST_SHARE)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """``docs`` with row_key, a hash of ``columns`` and of which of them are null: ids may be null or repeated."""
-    return docs.withColumn("row_key", F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]))
+    return docs.select(*COLUMNS).withColumn("row_key", F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +67,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark; n_chars follows the text."""
-    return secret_scan.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return secret_scan.redacted(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
