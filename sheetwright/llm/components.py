@@ -2,7 +2,11 @@
 
 Alternates the "large star" and "small star" steps, which link every node to
 the smallest node it has seen; the number of rounds grows with the logarithm of
-the longest chain. Each round is written to the shared folder.
+the longest chain. Each round is written to the shared folder. A node with a
+large share of all links is split by ``skew.attach``.
+
+Edge cases: links with a null end, and of a node with itself, are left out;
+repeated links count once; without links there are no rows.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetwright.llm.skew import attach
 from sheetwright.llm.workspace import Workspace
 
 
@@ -20,10 +25,10 @@ def connected_components(links: DataFrame, space: Workspace, most_rounds: int =
     for _ in range(most_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = attach(both, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"), F.col("u").alias("by"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        nexts = space.save(large.join(down, "u").select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct(), "edges")
+        nexts = space.save(attach(large, down, "u", "by").select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct(), "edges")
         after = _digest(nexts)
         space.drop(edges)
         edges = nexts

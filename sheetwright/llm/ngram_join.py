@@ -2,45 +2,50 @@
 
 1. Every text becomes its set of n-word shingles (64-bit hashes). Texts with
    the same set share a 64-bit key, so copies are one node from here on.
-2. Blocks: documents that agree on all of ``width`` minimum hashes in one of
-   ``bands`` rows. Two sets of the least similarity miss every band with a
-   chance below 1e-12 (52 bands of 4 at 0.8), as small as that of two shingles
-   with one hash. No document statistics and no limits on a block are needed.
-3. Within a block a star (member, best-connected member) is tried first. Pairs
-   below the size bound are discarded; for the others the incidence rows meet
-   in one task, overlap counts are accumulated over sorted n-gram ids, and pairs
-   below the bound that follows from their sizes go.
-4. Components of the links so far. Blocks in one component are complete: none of
-   their links could change the result. The documents of the others are
-   multiplied with each other over their rarest n-grams, as far as the sizes of
-   a pair demand, across components only, and what remains is tried as in 3.
-
-Nothing is collected to the driver. A group of m near copies costs O(m) pairs
-as far as it hangs together.
+2. N-grams are ordered by hash, and a document is entered in the columns of its
+   first ones only: as many as leave out less than the overlap that its size
+   demands, and ``extra`` of its size more. Two documents of enough similarity
+   have their first common n-grams there, as many as the smaller surplus. A
+   column with one document goes. No document statistics are needed for that.
+3. Within a column the document with most shared columns is multiplied with the
+   others; counts over the columns and the two sizes bound the overlap, and the
+   pairs that remain are decided by their exact overlap. This links most of a
+   group of near copies without its pairs.
+4. Columns within one component of the links so far are complete. A document
+   whose columns beyond its component are fewer than the surplus has no further
+   link and goes, which is repeated as others go. The rest are multiplied with
+   each other over their rarest n-grams, as far as the sizes of a pair demand,
+   across components only, and what remains is decided as in 3.
+
+Every step drops only what a bound rules out, so no link between components is
+lost. Nothing is collected to the driver. A group of m near copies costs O(m)
+pairs as far as it hangs together. Columns are read in sorted order, not held,
+and joins split keys with a large share of the rows.
 
 Edge cases: null, empty or blank texts have no shingle, count 0 and are alone;
-with fewer words than ``n`` the whole sequence is the one shingle; repeated
-rows are returned as often; an empty table gives no rows; other columns, also
-ones named like those here, are ignored.
+with fewer words than ``n`` the whole sequence is the one shingle; texts of any
+length have all their shingles; repeated rows are returned as often, and rows
+with null or repeated ids are judged by their own text; an empty table gives no
+rows; other columns, also ones named like those here, are ignored.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetwright.llm.components import connected_components
+from sheetwright.llm.skew import attach
 from sheetwright.llm.textcore import grams, mix64, words
 from sheetwright.llm.workspace import Workspace
 
-#: Stands for a null doc_id where texts are looked up.
-_NO_ID = -(1 << 63)
+#: Of a document's shingles, one in so many is the surplus of its columns.
+EXTRA = 16
 
-SIGNED = "doc_id long, n_shingles long, set_key long, bands array<long>"
+SIGNED = "doc_id long, text_id long, n_shingles long, set_key long, cols array<long>"
+ENTRY = "col long, set_key long, size long"
 
 
 def shingle_sets(column, n: int):
@@ -63,25 +68,17 @@ def set_key(shingles: np.ndarray) -> int:
     return int(mix64(np.array([total ^ np.uint64(len(shingles))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def band_hashes(shingles: np.ndarray, factors: np.ndarray, width: int) -> np.ndarray:
-    """A hash for each band of ``width`` minima, under multiplicative hash functions."""
-    minima = np.empty(len(factors), dtype=np.uint64)
-    step = max(1, (1 << 18) // max(1, len(shingles)))
-    for k in range(0, len(factors), step):
-        minima[k : k + step] = (shingles[None, :] * factors[k : k + step, None]).min(axis=1)
-    bands = np.zeros(len(factors) // width, dtype=np.uint64)
-    for k in range(width):
-        bands = mix64(bands ^ minima[k::width])
-    return mix64(bands ^ np.arange(len(bands), dtype=np.uint64)).view(np.int64)
+def surplus(size):
+    """How many columns two documents share at least, by the size of the smaller one; numbers, arrays and Columns alike."""
+    return (size + EXTRA - 1) // EXTRA
 
 
-def bands_for(threshold: float, width: int, miss: float = 1e-12) -> int:
-    return math.ceil(math.log(miss) / math.log(1 - threshold**width))
+def prefix_length(size: int, percent: int) -> int:
+    return min(size, size - -(-percent * size // 100) + surplus(size))
 
 
-def sign(docs: DataFrame, n: int, bands: int, width: int) -> DataFrame:
-    """The sets' keys and bands; a key's bands are given once in a task."""
-    factors = np.random.default_rng(4).integers(0, 1 << 63, bands * width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def sign(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The sets' keys and columns; a key's columns are given once in a task."""
 
     def run(batches):
         seen: set[int] = set()
@@ -95,10 +92,89 @@ def sign(docs: DataFrame, n: int, bands: int, width: int) -> DataFrame:
                         if len(seen) > 1 << 20:
                             seen.clear()
                         seen.add(key[row])
-                        rows[row] = band_hashes(shingles, factors, width)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(size), pa.array(key, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands"])
+                        rows[row] = shingles[: prefix_length(len(shingles), percent)].view(np.int64)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_id"), pa.array(size), pa.array(key, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "text_id", "n_shingles", "set_key", "cols"])
+
+    return docs.mapInArrow(run, SIGNED)
+
+
+def _runs(batches, names: tuple[str, ...]):
+    """Arrays of the given columns of sorted batches, and where a value of the first one begins, which may be a batch before."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        arrays = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        first = np.ones(batch.num_rows, dtype=bool)
+        first[1:] = arrays[0][1:] != arrays[0][:-1]
+        first[0] = last is None or arrays[0][0] != last
+        last = arrays[0][-1]
+        yield arrays, first
+
+
+def shared_columns(entries: DataFrame) -> DataFrame:
+    """The entries of columns with two documents and more, once each. A column is read through, its first entry waits for the second."""
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
+    def run(batches):
+        held = None
+        for (col, key, size), first in _runs(batches, ("col", "set_key", "size")):
+            new = first.copy()
+            new[1:] |= key[1:] != key[:-1]
+            if not first[0]:
+                new[0] = key[0] != tail
+            tail = key[-1]
+            col, key, size, first = (x[new] for x in (col, key, size, first))
+            if not len(col):
+                continue
+            follows = ~first
+            out = follows.copy()
+            out[:-1] |= follows[1:]  # the first entry of a column that goes on
+            if held is not None and follows[0] and held[3]:
+                yield _entry_batch(*(np.array([x]) for x in held[:3]))
+            yield _entry_batch(col[out], key[out], size[out])
+            held = (col[-1], key[-1], size[-1], bool(first[-1]))
+
+    return entries.repartition("col").sortWithinPartitions("col", "set_key").mapInArrow(run, ENTRY)
+
+
+def _entry_batch(col, key, size) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(col), pa.array(key), pa.array(size)], names=["col", "set_key", "size"])
+
+
+def stars(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): a column's document with most shared columns, and another that the sizes allow, if they meet in half the columns that they must share."""
+    listed = members.groupBy("set_key").agg(F.first("size").alias("size"), F.collect_list("col").alias("cols"))
+    ranked = listed.select(F.explode("cols").alias("col"), F.size("cols").alias("known"), "set_key", "size")
+
+    def run(batches):
+        centre = None
+        for (_, key, size), first in _runs(batches, ("col", "set_key", "size")):
+            at = np.flatnonzero(first)
+            which = np.cumsum(first) - 1
+            c, s = np.append(key[at], 0)[which], np.append(size[at], 0)[which]
+            if not first[0]:
+                c[which < 0], s[which < 0] = centre
+            centre = (c[-1], s[-1])
+            ok = (key != c) & (100 * np.minimum(size, s) >= percent * np.maximum(size, s))
+            yield pa.record_batch([pa.array(c[ok]), pa.array(key[ok]), pa.array(np.minimum(size, s)[ok])], names=["a", "b", "size"])
+
+    dealt = ranked.repartition("col").sortWithinPartitions("col", F.desc("known"), "set_key")
+    met = dealt.mapInArrow(run, "a long, b long, size long").groupBy("a", "b").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    return met.where(f"2 * n >= (size + {EXTRA - 1}) div {EXTRA}").select("a", "b")
+
+
+def open_members(members: DataFrame, percent: int, space: Workspace, rounds: int = 2) -> DataFrame:
+    """Of ``members`` (with root): those of documents with enough columns beyond their component for another link."""
+    least = f"(ceil({percent} * size / 100) + {EXTRA - 1}) div {EXTRA}"  # of the smallest partner
+    for _ in range(rounds):
+        mixed = members.groupBy("col").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("col")
+        mixed = space.save(mixed, "mixed")
+        across = attach(members, mixed, "col", "set_key")
+        some = across.groupBy("set_key").agg(F.count("*").alias("n"), F.first("size").alias("size")).where(f"n >= {least}").select("set_key")
+        kept = space.save(across.join(some, "set_key").select("col", "set_key", "size", "root"), "open")
+        space.drop(members, mixed)
+        members = kept
+    return members
 
 
 def own_texts(candidates: DataFrame, n: int) -> DataFrame:
@@ -132,16 +208,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 
     one = texts.select(F.col("set_key").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("set_key").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-def with_centres(members: DataFrame) -> DataFrame:
-    """Adds each block's centre: the member with most neighbours over all its blocks, which copies of one text tend to be near."""
-    counts = members.groupBy("band").agg(F.count("*").alias("n"))
-    known = members.join(counts, "band").groupBy("set_key").agg(F.sum("n").alias("known"))
-    ranked = members.join(known, "set_key")
-    centre = ranked.groupBy("band").agg(F.max_by(F.struct("set_key", "size"), F.struct("known", "set_key")).alias("c"))
-    return members.join(centre.select("band", F.col("c")["set_key"].alias("centre"), F.col("c")["size"].alias("size_c")), "band")
+    return attach(attach(pairs, one, "a", "b"), two, "b", "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def product_candidates(open_: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -164,7 +231,7 @@ def product_candidates(open_: DataFrame, texts: DataFrame, n: int, percent: int)
     schema = "set_key long, size long, root long, shingles array<long>"
     cells = open_.join(texts, "set_key").select("set_key", "size", "root", "text").mapInArrow(listed, schema).select("set_key", "size", "root", F.explode("shingles").alias("shingle"))
     common = cells.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    rows = cells.join(common, "shingle").groupBy("set_key", "size", "root").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("cols"))
+    rows = attach(cells, common, "shingle", "set_key").groupBy("set_key", "size", "root").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("cols"))
     # n-grams of one document stand before all others, so the ranks here begin behind them
     ranked = rows.select("set_key", "size", "root", F.posexplode("cols").alias("pos", "col"), (F.col("size") - F.size("cols")).alias("alone"))
     ranked = ranked.select("set_key", "size", "root", F.col("col")["shingle"].alias("shingle"), (F.col("alone") + F.col("pos")).alias("rank")).where(f"100 * (size - rank) >= {percent} * size")
@@ -176,43 +243,44 @@ def product_candidates(open_: DataFrame, texts: DataFrame, n: int, percent: int)
     return pairs
 
 
-def classes(docs: DataFrame, n: int = 5, percent: int = 80, width: int = 4) -> DataFrame:
+def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and n_copies (rows with the same set) of every row of ``docs``."""
     spark = docs.sparkSession
     space = Workspace(spark, "ngram-join")
-    ratio = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
-
-    signed = space.save(sign(docs, n, bands_for(percent / 100, width), width), "signed")
-    keys = space.save(signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("text_id"), F.max("n_shingles").alias("size"), F.count("*").alias("n_copies")), "keys")
-
-    entries = signed.where("bands is not null").select("set_key", F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.min("set_key").alias("least"), F.max("set_key").alias("most")).where("least <> most").select("band")
-    members = space.save(entries.join(shared, "band").distinct(), "members")
-    blocks = space.save(with_centres(members), "blocks")
-
-    stars = blocks.where("set_key <> centre").select(F.col("centre").alias("a"), F.col("set_key").alias("b"), F.col("size_c").alias("size_a"), F.col("size").alias("size_b")).where(ratio).select("a", "b").distinct()
-    stars = space.save(stars, "stars")
-    involved = members.select("set_key").distinct().join(keys, "set_key").select("set_key", "text_id")
-    given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("text_id"), F.col("text").cast("string"))
-    texts = space.save(own_texts(given.join(involved, "text_id").select("set_key", "text"), n).dropDuplicates(["set_key"]), "texts")
-    links = space.save(overlaps(stars, texts, n, percent), "links")
+
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    given = given.withColumn("text_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.col("doc_id")))
+    signed = space.save(sign(given, n, percent), "signed")
+    keys = space.save(signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("text_id").alias("text_id"), F.max("n_shingles").alias("size"), F.count("*").alias("n_copies")), "keys")
+
+    entries = signed.where("cols is not null").select(F.explode("cols").alias("col"), "set_key", F.col("n_shingles").alias("size"))
+    members = space.save(shared_columns(entries), "members")
+    enough = members.groupBy("set_key").agg(F.count("*").alias("n"), F.first("size").alias("size")).where(f"n >= (ceil({percent} * size / 100) + {EXTRA - 1}) div {EXTRA}").select("set_key")
+    involved = space.save(enough, "involved")
+    members = space.save(members.join(involved, "set_key").select("col", "set_key", "size"), "members")
+    found = space.save(stars(members, percent), "stars")
+    looked = involved.join(keys, "set_key").select("set_key", "text_id")
+    texts = space.save(own_texts(attach(given.where("text is not null").select("text_id", "text"), looked, "text_id", "text").select("set_key", "text"), n).dropDuplicates(["set_key"]), "texts")
+    links = space.save(overlaps(found, texts, n, percent), "links")
     roots = space.save(connected_components(links, space), "roots")
 
-    # Blocks of three and more that hold more than one component.
-    rooted = blocks.select("band", "set_key", "size").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).where("r <> s and n > 2").select("band")
-    open_ = space.save(rooted.join(mixed, "band").select("set_key", "size", "root").distinct(), "open")
-    across = product_candidates(open_, texts, n, percent).join(stars, ["a", "b"], "left_anti")
+    rooted = members.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("col", "set_key", "size", F.coalesce("root", "set_key").alias("root"))
+    open_ = open_members(space.save(rooted, "rooted"), percent, space).select("set_key", "size", "root").distinct()
+    open_ = space.save(open_, "open")
+    across = product_candidates(open_, texts, n, percent).join(found, ["a", "b"], "left_anti")
+    across = space.save(across.join(found.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "across")
     more = space.save(overlaps(across, texts, n, percent), "links")
     if not more.isEmpty():
         rooted_links = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = space.save(connected_components(rooted_links.union(more), space), "roots")
 
     named = keys.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    named = space.save(named.select("set_key", "doc_id", "n_copies", "root"), "named")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    member = named.join(least, "root").select("set_key", "component_id", "n_copies")
-    result = signed.select("doc_id", "n_shingles", "set_key").join(member, "set_key", "left")
-    result = result.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
-    result = space.save(result, "classes")
-    space.drop(signed, keys, members, blocks, stars, texts, links, roots, open_, more)
+    member = space.save(attach(named.drop("doc_id"), least, "root", "set_key").select("set_key", "component_id", "n_copies"), "member")
+    result = signed.select("doc_id", "n_shingles", "set_key")
+    alone = result.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
+    result = attach(result, member, "set_key", "doc_id").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "n_copies")
+    result = space.save(result.union(alone), "classes")
+    space.drop(signed, keys, members, involved, found, texts, links, roots, open_, across, more, named, member)
     return result
