@@ -44,6 +44,9 @@ from sheetwright.llm.workspace import Workspace
 #: Of a document's shingles, one in so many is the surplus of its columns.
 EXTRA = 16
 
+#: Bits of a set's parities.
+BITS = 512
+
 SIGNED = "doc_id long, text_id long, n_shingles long, set_key long, cols array<long>"
 ENTRY = "col long, set_key long, size long"
 
@@ -211,35 +214,55 @@ def overlaps(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return attach(attach(pairs, one, "a", "b"), two, "b", "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def product_candidates(open_: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def difference_bits(shingles: np.ndarray) -> np.ndarray:
+    """The parity of a set's shingles in each of ``BITS`` classes; two sets differ in as many shingles at least as here in bits."""
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
+def product_candidates(open_: DataFrame, texts: DataFrame, n: int, percent: int, space: Workspace) -> DataFrame:
     """Pairs (a, b) of two components that the sparse product over ``open_`` (set_key, size, root) can't rule out.
 
     N-grams are ordered by how many open documents hold them, rarest first. Two
     sets that overlap in ``need`` n-grams have their first common one at a rank
     that leaves at least ``need`` in each; ``need`` follows from the two sizes.
     So only the columns within that rank are multiplied: for documents with
-    their own edits these are their edits, which nobody shares.
+    their own edits these are their edits, which nobody shares. Bits of the
+    sets' parities bound the overlap from above before a text is looked at. In
+    each column the members of its largest component are on one side only.
     """
+    words_of = BITS // 64
 
     def listed(batches):
         for batch in batches:
-            rows = [None] * batch.num_rows
+            rows, bits = [None] * batch.num_rows, [None] * batch.num_rows
             for row, shingles in shingle_sets(batch.column("text"), n):
-                rows[row] = shingles.view(np.int64)
-            yield pa.record_batch([batch.column("set_key"), batch.column("size"), batch.column("root"), pa.array(rows, pa.list_(pa.int64()))], names=["set_key", "size", "root", "shingles"])
+                rows[row], bits[row] = shingles.view(np.int64), difference_bits(shingles)
+            yield pa.record_batch([batch.column("set_key"), batch.column("size"), batch.column("root"), pa.array(rows, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["set_key", "size", "root", "shingles", "bits"])
 
-    schema = "set_key long, size long, root long, shingles array<long>"
-    cells = open_.join(texts, "set_key").select("set_key", "size", "root", "text").mapInArrow(listed, schema).select("set_key", "size", "root", F.explode("shingles").alias("shingle"))
-    common = cells.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    schema = "set_key long, size long, root long, shingles array<long>, bits array<long>"
+    sets = space.save(open_.join(texts, "set_key").select("set_key", "size", "root", "text").mapInArrow(listed, schema), "sets")
+    cells = sets.select("set_key", "size", "root", F.explode("shingles").alias("shingle"))
+    common = space.save(cells.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "common")
     rows = attach(cells, common, "shingle", "set_key").groupBy("set_key", "size", "root").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("cols"))
     # n-grams of one document stand before all others, so the ranks here begin behind them
     ranked = rows.select("set_key", "size", "root", F.posexplode("cols").alias("pos", "col"), (F.col("size") - F.size("cols")).alias("alone"))
     ranked = ranked.select("set_key", "size", "root", F.col("col")["shingle"].alias("shingle"), (F.col("alone") + F.col("pos")).alias("rank")).where(f"100 * (size - rank) >= {percent} * size")
-    left = ranked.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("set_key", "size", "root", "rank")])
-    right = ranked.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("set_key", "size", "root", "rank")])
+    ranked = ranked.join(sets.select("set_key", *[F.col("bits")[k].alias(f"bits{k}") for k in range(words_of)]), "set_key")
+    ranked = space.save(ranked, "ranked")
+    largest = ranked.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("shingle", "largest")
+    largest = space.save(largest, "largest")
+    entries = attach(ranked, largest, "shingle", "set_key").withColumn("first", F.col("root") != F.col("largest"))
+    entries = space.save(entries.select(*ranked.columns, "first"), "entries")
+    names = ["set_key", "size", "root", "rank", *(f"bits{k}" for k in range(words_of))]
+    left = entries.where("first").select("shingle", *[F.col(c).alias(f"{c}_a") for c in names])
+    right = entries.select("shingle", *[F.col(c).alias(f"{c}_b") for c in names])
     need = f"ceil({percent} * (size_a + size_b) / {100 + percent})"
-    bound = f"set_key_a < set_key_b and root_a <> root_b and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) and size_a - rank_a >= {need} and size_b - rank_b >= {need}"
-    pairs = left.join(right, "shingle").where(bound).select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b")).distinct()
+    differ = " + ".join(f"bit_count(bits{k}_a ^ bits{k}_b)" for k in range(words_of))
+    bound = f"root_a <> root_b and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) and size_a - rank_a >= {need} and size_b - rank_b >= {need} and size_a + size_b - ({differ}) >= 2 * {need}"
+    pairs = left.join(right, "shingle").where(bound).select(F.least("set_key_a", "set_key_b").alias("a"), F.greatest("set_key_a", "set_key_b").alias("b")).distinct()
+    pairs = space.save(pairs, "pairs")
+    space.drop(sets, common, ranked, largest, entries)
     return pairs
 
 
@@ -255,6 +278,8 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     entries = signed.where("cols is not null").select(F.explode("cols").alias("col"), "set_key", F.col("n_shingles").alias("size"))
     members = space.save(shared_columns(entries), "members")
+    rows = space.save(signed.select("doc_id", "n_shingles", "set_key"), "rows")
+    space.drop(signed)
     enough = members.groupBy("set_key").agg(F.count("*").alias("n"), F.first("size").alias("size")).where(f"n >= (ceil({percent} * size / 100) + {EXTRA - 1}) div {EXTRA}").select("set_key")
     involved = space.save(enough, "involved")
     members = space.save(members.join(involved, "set_key").select("col", "set_key", "size"), "members")
@@ -267,7 +292,7 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rooted = members.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("col", "set_key", "size", F.coalesce("root", "set_key").alias("root"))
     open_ = open_members(space.save(rooted, "rooted"), percent, space).select("set_key", "size", "root").distinct()
     open_ = space.save(open_, "open")
-    across = product_candidates(open_, texts, n, percent).join(found, ["a", "b"], "left_anti")
+    across = product_candidates(open_, texts, n, percent, space).join(found, ["a", "b"], "left_anti")
     across = space.save(across.join(found.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "across")
     more = space.save(overlaps(across, texts, n, percent), "links")
     if not more.isEmpty():
@@ -278,9 +303,8 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     named = space.save(named.select("set_key", "doc_id", "n_copies", "root"), "named")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     member = space.save(attach(named.drop("doc_id"), least, "root", "set_key").select("set_key", "component_id", "n_copies"), "member")
-    result = signed.select("doc_id", "n_shingles", "set_key")
-    alone = result.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
-    result = attach(result, member, "set_key", "doc_id").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "n_copies")
+    alone = rows.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
+    result = attach(rows, member, "set_key", "doc_id").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "n_copies")
     result = space.save(result.union(alone), "classes")
-    space.drop(signed, keys, members, involved, found, texts, links, roots, open_, across, more, named, member)
+    space.drop(rows, keys, members, involved, found, texts, links, roots, open_, across, more, named, member)
     return result

@@ -30,4 +30,4 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, by: str) -> DataFrame:
     parts = F.broadcast(spark.createDataFrame(list(hot.items()), f"{key} {dict(rows.dtypes)[key]}, parts long"))
     dealt = rows.join(parts, key, "left").withColumn("part", F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1)))).drop("parts")
     repeated = groups.join(parts, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return dealt.join(repeated, [key, "part"]).drop("part")
+    return dealt.hint("merge").join(repeated, [key, "part"]).drop("part")  # sent out whole, one side would leave the parts of a key in one task
