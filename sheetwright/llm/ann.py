@@ -6,15 +6,20 @@ components at a time to one of 16 centroids (4 bits). The quantiser weighs the
 part of the residual that is parallel to the vector, which shifts the products
 with near queries, ``eta`` times as much as the rest (anisotropic loss), both
 when centroids are fitted and when codes are chosen. A scan adds up table
-entries for the codes; the best ``rerank`` candidates of a query are measured
-exactly on the original vectors.
+entries for the codes; the best candidates of a query are measured exactly on
+the original vectors. How many follows from the number of rows, as recall in a
+fixed number falls while rows grow: see ``rerank_for``.
 
 The quantiser is fitted on a bounded sample (``sample`` vectors, by a hash of
-vec_id). Every valid row is indexed. Queries go out in blocks of
-``query_block``, so what is sent is bounded; each block is one pass over codes
-of a few bytes a row. Copies of one vector would crowd out other candidates, so
-of equal vectors the index holds only the ``k`` + 1 smallest ids, once each,
-which is all that a result of ``k`` and the query itself can take.
+vec_id). Every valid row is indexed. Queries are dealt to blocks of about
+``query_block`` by a hash and written; one block at a time is read by the
+driver, sent out, and its candidates written before the next, so neither the
+driver nor what is sent grows with the queries. Each block is one pass over
+codes of a few bytes a row, so the cost is queries times rows. Copies of one
+vector would crowd out other candidates, so of equal vectors the index holds
+only the ``k`` + 1 smallest ids, once each, which is all that a result of ``k``
+and the query itself can take; the copies of a query's own vector are
+candidates whatever the scan says of them.
 
 Edge cases: vectors that are null or zero, hold null or non-finite components
 or have another size than most are neither queries nor candidates; rows with a
@@ -25,6 +30,7 @@ gives none; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +42,7 @@ from sheetwright.llm.textcore import mix64
 from sheetwright.llm.workspace import Workspace
 
 CODED = "vec_id long, code binary, norm double, vector_key long"
-NEAR = "query_id long, vec_id long, rough double, vector_key long"
+NEAR = "query_id long, vec_id long, rough double"
 
 
 @dataclass
@@ -154,37 +160,39 @@ def few_copies(coded: DataFrame, most: int) -> DataFrame:
     return coded.withColumn("place", place).where(F.col("place") <= most).drop("place").dropDuplicates(["vector_key", "vec_id"]).select(*coded.columns)
 
 
-def scan(index: DataFrame, query_ids: np.ndarray, tables: np.ndarray, rerank: int) -> DataFrame:
-    """Each task's best candidates of every query of a block."""
-    sent = index.sparkSession.sparkContext.broadcast((query_ids, tables))
+def rerank_for(rows: int) -> int:
+    """Candidates measured exactly: 200 up to 20,000 rows, and then more by the square root of the rows."""
+    return int(200 * max(1.0, rows / 20_000) ** 0.5)
+
+
+def scan(index: DataFrame, sent, rerank: int) -> DataFrame:
+    """Each task's best candidates of every query of a block; ``sent``: the broadcast (ids, tables) of the block."""
 
     def run(batches):
         query_ids, tables = sent.value
         ids = np.zeros((len(query_ids), 0), dtype=np.int64)
-        rough, keys = np.zeros(ids.shape, dtype=np.float32), ids
+        rough = np.zeros(ids.shape, dtype=np.float32)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                own, key, norm = (part.column(c).to_numpy() for c in ("vec_id", "vector_key", "norm"))
+                own, norm = (part.column(c).to_numpy() for c in ("vec_id", "norm"))
                 norm = norm.astype(np.float32)
                 code = np.frombuffer(b"".join(part.column("code").to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
                 score = np.repeat(norm[None], len(query_ids), axis=0)
                 for m in range(code.shape[1]):
                     score += tables[:, m][:, code[:, m]]
-                ids_all = np.concatenate([ids, np.broadcast_to(own, score.shape)], axis=1)
-                keys_all = np.concatenate([keys, np.broadcast_to(key, score.shape)], axis=1)
+                ids = np.concatenate([ids, np.broadcast_to(own, score.shape)], axis=1)
                 rough = np.concatenate([rough, score], axis=1)
                 if rough.shape[1] > rerank:
                     best = np.argpartition(rough, rerank - 1, axis=1)[:, :rerank]
-                    rough, ids_all, keys_all = (np.take_along_axis(z, best, axis=1) for z in (rough, ids_all, keys_all))
-                ids, keys = ids_all, keys_all
+                    rough, ids = (np.take_along_axis(z, best, axis=1) for z in (rough, ids))
         if ids.shape[1]:
-            yield pa.record_batch([pa.array(np.repeat(query_ids, ids.shape[1])), pa.array(ids.ravel()), pa.array(rough.ravel().astype(np.float64)), pa.array(keys.ravel())], names=["query_id", "vec_id", "rough", "vector_key"])
+            yield pa.record_batch([pa.array(np.repeat(query_ids, ids.shape[1])), pa.array(ids.ravel()), pa.array(rough.ravel().astype(np.float64))], names=["query_id", "vec_id", "rough"])
 
     return index.mapInArrow(run, NEAR)
 
 
-def search(embeddings: DataFrame, queries: DataFrame, k: int = 10, rerank: int = 200, sample: int = 8192, query_block: int = 1024) -> DataFrame:
+def search(embeddings: DataFrame, queries: DataFrame, k: int = 10, rerank: int | None = None, sample: int = 8192, query_block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id and score (distance) of the ``k`` nearest rows of each query.
 
     ``queries``: rows of ``embeddings``; a query is no candidate of its own.
@@ -196,31 +204,27 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 10, rerank: int =
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
+    rerank = rerank or rerank_for(n)
     part = vectors if n <= sample else vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     quantiser = fit(_matrix(part.toArrow().column("v").combine_chunks()))
     index = space.save(few_copies(encode(vectors, quantiser), k + 1), "codes")
 
     asked = valid(queries).where(F.size("v") == quantiser.size).dropDuplicates(["vec_id"])
-    near = None
-    block: list = []
-
-    def flush(near):
-        ids = np.array([r["vec_id"] for r in block], dtype=np.int64)
-        found = scan(index, ids, quantiser.tables(np.array([r["v"] for r in block])), rerank + k)
-        return found if near is None else near.union(found)
-
-    for row in asked.toLocalIterator():
-        block.append(row)
-        if len(block) == query_block:
-            near, block = flush(near), []
-    if block:
-        near = flush(near)
-    if near is None:
-        return spark.createDataFrame([], schema)
-
-    near = near.where("vec_id <> query_id")
-    near = near.withColumn("copy", F.row_number().over(Window.partitionBy("query_id", "vector_key").orderBy("vec_id"))).where(F.col("copy") <= k)
-    near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rough", "vec_id"))).where(F.col("place") <= rerank)
+    blocks = max(1, -(-asked.count() // query_block))
+    asked = space.save(asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks))), "queries")
+
+    own = encode(asked.select("vec_id", "v"), quantiser).select(F.col("vec_id").alias("query_id"), "vector_key")
+    found = [own.join(index.select("vec_id", "vector_key"), "vector_key").select("query_id", "vec_id", F.lit(float("-inf")).alias("rough"))]
+    for b in range(blocks):
+        held = asked.where(F.col("block") == b).toArrow()
+        if not held.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((held.column("vec_id").to_numpy(), quantiser.tables(_matrix(held.column("v").combine_chunks()))))
+        found.append(space.save(scan(index, sent, rerank + k).select("query_id", "vec_id", "rough").where("vec_id <> query_id"), "near"))
+        sent.destroy()
+
+    near = functools.reduce(DataFrame.union, found).where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("rough").alias("rough"))
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rough", "vec_id"))).where(F.col("place") <= rerank + k)
     pairs = near.select("query_id", "vec_id").join(vectors.select("vec_id", "v"), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     square = F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
     measured = pairs.select("query_id", "vec_id", F.sqrt(square).alias("score")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

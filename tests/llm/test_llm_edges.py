@@ -197,3 +197,17 @@ def test_windows_across_pieces(spark):
         least = best - 1e-9
         assert frame.select(secret_scan._strong(frame["s"], alphabet, ((24, least),))).first()[0]
         assert not frame.select(secret_scan._strong(frame["s"], alphabet, ((24, best + 1e-6),))).first()[0]
+
+
+# -- 7: vectors
+
+
+@pytest.mark.parametrize("hot", [(0.5, 0.5, 0.5, 0.5), (0.9, 0.1, 0.3, 0.7), (1.0, 0.5, 0.25, 2.0)])
+def test_a_query_finds_the_copies_of_its_vector(spark, hot):
+    from sheetwright.llm import ann
+
+    x = np.random.default_rng(11).random((120_000, 4))
+    x[::250] = hot
+    frame = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(120_000)), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
+    rows = ann.search(frame, frame.where("vec_id = 95000"), sample=2048).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in rows] == [(250 * k, 0.0) for k in range(10)]
