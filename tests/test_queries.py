@@ -69,4 +69,5 @@ def test_documents_of_any_characters(spark, tmp_path):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 3
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
-    assert ("pipeline" in __spark_entry__.queries()) == (importlib.util.find_spec("corpus_pipeline") is not None)
+    both = all(importlib.util.find_spec(name) for name in ("corpus_pipeline", "sheetwright.llm"))
+    assert ("pipeline" in __spark_entry__.queries()) == both
