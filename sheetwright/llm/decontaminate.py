@@ -14,13 +14,18 @@ repeated until the target recall is reached at the largest distance allowed;
 how often is computed from items that are edited at random. Windows that share
 a bucket with an item are verified by their exact edit distance.
 
-Two exact bounds keep the windows few: each word of a window that no item of
-that size has costs an edit, and so does each that one item has not as often.
-
-Items are read by the driver in blocks of ``block_words`` words, and one block
-at a time is sent to the executors.
-
-Edge cases: items without words match nothing; a null or empty text matches
+Each word of a window that no item of that size has costs an edit, which a
+running count settles for all windows at once; only windows with few such words
+are embedded. Of the pairs that share a bucket, those go whose word counts
+differ by too many edits, before edit distances are taken.
+
+Items are read by the driver in blocks of ``block_words`` words. One block at a
+time is sent to the executors; where there are several, what it finds is
+written before the next. If ``most_samples`` samples of a walk don't reach the
+target recall, ``RecallError`` says so.
+
+Edge cases: items without words match nothing; texts of any length are searched
+whole; of windows with as few edits the first is given; a null or empty text matches
 nothing; several items with one text are all reported; repeated rows are judged
 one by one; an empty table of documents or items gives no rows; other columns
 are ignored.
@@ -37,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetwright.llm.textcore import words
-from sheetwright.llm.workspace import ship
+from sheetwright.llm.workspace import Workspace
 
 FOUND = "doc_id long, item_id long, edits int, n_windows int, word_start int"
 
@@ -59,12 +64,21 @@ def edit_distances(one: np.ndarray, lengths: np.ndarray, two: np.ndarray) -> np.
     return out
 
 
-def repeats(rows: np.ndarray) -> np.ndarray:
-    """How often each word of a row stood in it before."""
-    out = np.zeros(rows.shape, dtype=np.int16)
-    for k in range(1, rows.shape[1]):
-        out[:, k:] += rows[:, k:] == rows[:, :-k]
-    return out
+def common_words(one: np.ndarray, two: np.ndarray, pad: int) -> np.ndarray:
+    """How many words two rows have in common, each as often as both have it; 0 and ``pad`` are no words."""
+    n = one.shape[1]
+    both = np.sort(np.concatenate([one * 2, two * 2 + 1], axis=1), axis=1)
+    word, side = both >> 1, both & 1
+    place = np.arange(2 * n)
+    begin = np.ones(both.shape, dtype=bool)
+    begin[:, 1:] = word[:, 1:] != word[:, :-1]
+    start = np.maximum.accumulate(np.where(begin, place, 0), axis=1)
+    ends = np.ones(both.shape, dtype=bool)
+    ends[:, :-1] = begin[:, 1:]
+    sums = np.concatenate([np.zeros((len(both), 1), dtype=np.int64), np.cumsum(side, axis=1)], axis=1)
+    of_two = sums[:, 1:] - np.take_along_axis(sums, start, axis=1)
+    of_one = place - start + 1 - of_two
+    return np.where(ends & (word > 0) & (word != pad), np.minimum(of_one, of_two), 0).sum(axis=1)
 
 
 @dataclass
@@ -75,13 +89,17 @@ class SizeGroup:
     most: int
     local: np.ndarray  # by block-wide word number
     inside: np.ndarray  # whether a word is in the group
-    count: np.ndarray  # by item and word: how often the item has the word
     items: np.ndarray
     ids: list[int]
     pad: int
     walks: list[np.ndarray]  # by step and word: whether the pointer moves
     samples: list[list[np.ndarray]]  # by walk
-    keys: list[list[dict[int, list[int]]]]  # by walk and sample: bucket to items
+    keys: list[list[tuple[np.ndarray, np.ndarray]]]  # by walk and sample: sorted buckets, and the item of each
+    recall: float  # reached on items edited at random, at the largest distance
+
+
+class RecallError(ValueError):
+    """The samples allowed don't reach the target recall."""
 
 
 def walk(windows: np.ndarray, lengths: np.ndarray, moves: np.ndarray, pad: int) -> np.ndarray:
@@ -152,42 +170,34 @@ def plan_groups(items: list[tuple[int, np.ndarray]], vocabulary: np.ndarray, sim
             if found.mean() >= recall:
                 count = min(most_samples, s + 2)
                 break
+        if found.mean() < recall:
+            raise RecallError(f"items of {n} words: {found.mean():.3f} of edited items found, not {recall}")
         picks = [p[:count] for p in picks]
-        keys: list[list[dict[int, list[int]]]] = []
+        keys: list[list[tuple[np.ndarray, np.ndarray]]] = []
         for v in range(walks):
             keys.append([])
             for sample in picks[v]:
-                place: dict[int, list[int]] = {}
-                for k, b in enumerate(bucket(strings[v], sample).tolist()):
-                    place.setdefault(b, []).append(k)
-                keys[-1].append(place)
-        counts = np.zeros((len(table), pad + 1), dtype=np.int16)
-        np.add.at(counts, (np.arange(len(table))[:, None], table), 1)
-        groups.append(SizeGroup(n, most, local, (local > 0).astype(np.int32), counts, table, [i for i, _ in own], pad, moves, picks, keys))
+                place = bucket(strings[v], sample)
+                order = np.argsort(place, kind="stable")
+                keys[-1].append((place[order], order))
+        groups.append(SizeGroup(n, most, local, (local > 0).astype(np.int32), table, [i for i, _ in own], pad, moves, picks, keys, float(found.mean())))
     return groups
 
 
-def possible(group: SizeGroup, windows: np.ndarray) -> np.ndarray:
-    """By window and item: whether they have enough words in common, each as often as both have it."""
-    least = group.n - group.most
-    out = np.stack([(c > 0)[windows].sum(axis=1) >= least for c in group.count], axis=1)
-    some = np.flatnonzero(out.any(axis=1))
-    before = repeats(windows[some])
-    for k, c in enumerate(group.count):
-        out[some, k] &= (before < c[windows[some]]).sum(axis=1) >= least
-    return out
-
-
-def candidates(group: SizeGroup, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """By window and item: whether they share a bucket."""
-    out = np.zeros((len(windows), len(group.items)), dtype=bool)
+def candidates(group: SizeGroup, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of windows and items that share a bucket, once each."""
+    pairs = []
     for moves, picks, keys in zip(group.walks, group.samples, group.keys, strict=True):
         strings = walk(windows, lengths, moves, group.pad)
-        for sample, place in zip(picks, keys, strict=True):
+        for sample, (buckets, items) in zip(picks, keys, strict=True):
             got = bucket(strings, sample)
-            for key, items in place.items():
-                out[np.ix_(got == np.uint64(key), items)] = True
-    return out
+            first, last = np.searchsorted(buckets, got), np.searchsorted(buckets, got, side="right")
+            some = np.flatnonzero(last > first)
+            n = last[some] - first[some]
+            at = np.arange(int(n.sum())) + np.repeat(first[some] - (np.cumsum(n) - n), n)
+            pairs.append(np.unique(np.repeat(some, n) * len(group.items) + items[at]))
+    found = np.unique(np.concatenate(pairs))
+    return found // len(group.items), found % len(group.items)
 
 
 def _search(w, vocabulary: np.ndarray, groups: list[SizeGroup]):
@@ -217,15 +227,14 @@ def _search(w, vocabulary: np.ndarray, groups: list[SizeGroup]):
         key = bucket(windows, np.arange(g.n))
         _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         distinct, size = windows[first], length[first]
-        near = possible(g, distinct)
-        some = np.flatnonzero(near.any(axis=1))
-        if not len(some):
+        which, items = candidates(g, distinct, size)
+        enough = common_words(distinct[which], g.items[items], g.pad) >= least
+        which, items = which[enough], items[enough]
+        if not len(which):
             continue
-        near = near[some] & candidates(g, distinct[some], size[some])
-        which, items = np.nonzero(near)
-        edits = edit_distances(distinct[some][which], size[some][which], g.items[items])
+        edits = edit_distances(distinct[which], size[which], g.items[items])
         hits: dict[int, list[tuple[int, int]]] = {}
-        for k, item, e in zip(some[which].tolist(), items.tolist(), edits.tolist(), strict=True):
+        for k, item, e in zip(which.tolist(), items.tolist(), edits.tolist(), strict=True):
             if e <= g.most:
                 hits.setdefault(k, []).append((item, e))
         for x in np.flatnonzero(np.isin(inverse, list(hits))).tolist() if hits else ():
@@ -256,15 +265,19 @@ def _blocks(items: DataFrame, block_words: int):
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: float = 0.95, block_words: int = 200_000) -> DataFrame:
     """A row for each document and item: fewest edits, how many windows, and the first of the best."""
     spark = docs.sparkSession
-    ship(spark)
+    space = Workspace(spark, "decontaminate")
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = None
+    out, before = None, None
     for block in _blocks(items, block_words):
         hashes = [h for _, h in block if len(h)]
         if not hashes:
             continue
+        if before is not None:  # another block follows: what the last one finds is written, and its broadcast goes
+            done = space.save(out_of_block, "found")
+            before.destroy()
+            out = done if out is None else out.union(done)
         vocabulary = np.unique(np.concatenate(hashes))
-        sent = spark.sparkContext.broadcast((vocabulary, plan_groups(block, vocabulary, similarity, recall)))
+        before = sent = spark.sparkContext.broadcast((vocabulary, plan_groups(block, vocabulary, similarity, recall)))
 
         def run(batches, sent=sent):
             vocabulary, groups = sent.value
@@ -283,6 +296,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, rec
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "edits", "n_windows", "word_start"])
 
-        found = given.mapInArrow(run, FOUND)
-        out = found if out is None else out.union(found)
-    return spark.createDataFrame([], FOUND) if out is None else out
+        out_of_block = given.mapInArrow(run, FOUND)
+    if before is None:
+        return spark.createDataFrame([], FOUND)
+    return out_of_block if out is None else out.union(out_of_block)
