@@ -20,12 +20,16 @@ The corpus form therefore looks windows up by hash, in three steps:
 
 Entries travel packed, all of one place in a row. The texts are dealt to slots
 by doc_id once; both steps that look at them again reuse that exchange, and
-meet what was found for the same slot.
+meet what was found for the same slot. The number of slots and of buckets
+follows from the bytes of the texts (``SLOT_BYTES``), so that what a task holds
+stays level while the input grows.
 
 Edge cases: a null text has no words; texts of fewer than ``window`` words are
-kept; rows that share a doc_id don't cover each other and are returned one by
-one; a row with a null doc_id is kept whole and covers nothing; an empty table
-gives no rows; other columns are ignored.
+kept; texts of any length are judged whole; rows that share a doc_id don't
+cover each other and are returned one by one; a row with a null doc_id is kept
+whole, covers nothing and goes to a slot by its text; ties can't arise, as the
+smallest doc_id decides; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +47,9 @@ from sheetwright.llm.workspace import Workspace, shuffle_partitions
 #: Entries that a task holds before it forwards them.
 HELD = 1 << 21
 
+#: Bytes of text that a slot holds, about.
+SLOT_BYTES = 1 << 23
+
 ENTRIES = "dest int, docs binary, keys binary"
 KNOWN = "slot int, docs binary, keys binary"
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -57,7 +64,13 @@ def _slots_of(docs: np.ndarray, slots: int) -> np.ndarray:
 
 
 def _slot_column(slots: int):
-    return F.coalesce(F.pmod(F.pmod(F.col("doc_id"), F.lit(PRIME)) * FACTOR, F.lit(PRIME)) % slots, F.lit(0)).cast("int")
+    return F.coalesce(F.pmod(F.pmod(F.col("doc_id"), F.lit(PRIME)) * FACTOR, F.lit(PRIME)) % slots, F.pmod(F.xxhash64("text"), F.lit(slots))).cast("int")
+
+
+def _parts(texts: DataFrame) -> int:
+    """Partitions of texts and entries: two slots in each."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(shuffle_partitions(texts.sparkSession), -(-size // (2 * SLOT_BYTES)))
 
 
 def sliding_min(values: np.ndarray, n: int) -> np.ndarray:
@@ -185,7 +198,8 @@ def without_repeats(docs: DataFrame, window: int = 13, anchor: int = 5) -> DataF
 def _kept(docs: DataFrame, window: int, anchor: int, digest: bool) -> DataFrame:
     spark = docs.sparkSession
     Workspace(spark, "substring-dedup")
-    parts = shuffle_partitions(spark)
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    parts = _parts(given)
     dests = slots = 2 * parts
 
     def anchors(batches):
@@ -234,7 +248,6 @@ def _kept(docs: DataFrame, window: int, anchor: int, digest: bool) -> DataFrame:
         made = [pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))]
         return pa.table(made, names=["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "text"])
 
-    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     dealt = given.withColumn("slot", _slot_column(slots)).repartition(parts, "slot")
     by_slot = lambda df: df.repartition(parts, "slot").groupBy("slot")
 
@@ -290,28 +303,29 @@ class Automaton:
         return out
 
 
-def match_reference(docs: DataFrame, reference: DataFrame, window: int = 13, shard_words: int = 200_000, most_words: int = 20_000_000) -> DataFrame:
+def match_reference(docs: DataFrame, reference: DataFrame, window: int = 13, shard_words: int = 200_000, most_words: int = 2_000_000) -> DataFrame:
     """doc_id and the maximal word spans [start, end) of ``docs`` that ``reference`` (text) has too.
 
     The reference is counted first; above ``most_words`` this refuses, and ``remove_repeats``
-    on the union is the way. Its shards' automata are sent out one after the other.
+    on the union is the way. Within it, the driver reads text by text and holds one shard's
+    automaton, of a few hundred bytes a word, before it is sent out.
     """
     spark = docs.sparkSession
     Workspace(spark, "match-reference")
     size = reference.select(F.sum(F.size(F.split("text", "[ \\t-\\r]+"))).alias("n")).first()["n"] or 0
     if size > most_words:
         raise ValueError(f"the reference has {size} words, more than {most_words}")
-    texts = [r["text"].encode().split() for r in reference.where("text is not null").select("text").toLocalIterator()]
-    shards, room = [Automaton()], shard_words
-    for k, text in enumerate(texts):
+    sent, shard, room = [], Automaton(), shard_words
+    for k, row in enumerate(reference.where("text is not null").select("text").toLocalIterator()):
+        text = row["text"].encode().split()
         if room < len(text) and room < shard_words:
-            shards.append(Automaton())
-            room = shard_words
+            sent.append(spark.sparkContext.broadcast(shard))
+            shard, room = Automaton(), shard_words
         room -= len(text)
         for word in text:
-            shards[-1].add(word)
-        shards[-1].add(k)  # numbers are in no text
-    sent = [spark.sparkContext.broadcast(x) for x in shards]
+            shard.add(word)
+        shard.add(k)  # numbers are in no text
+    sent.append(spark.sparkContext.broadcast(shard))
 
     def spans(batches):
         for batch in batches:
