@@ -95,7 +95,7 @@ _SCRIPT_OF = np.array([len(_NAMES) + 1 if name == "other" else 1 + _NAMES.index(
 BUCKETS = 1 << 15
 
 #: Distinct words, and scores of words, that a worker keeps.
-MEMO_WORDS, MEMO_SCORES = 600_000, 1 << 24
+MEMO_WORDS, MEMO_SCORES = 200_000, 1 << 23
 
 UND = "und"
 LABELLED = "doc_id long, lang_pred string, score double, n_spans int"
