@@ -134,51 +134,46 @@ def _places(n: int, digits: str, units: str, short_ten: bool = False) -> str:
     return out or digits[0]
 
 
+def _by_place(n: int, sign) -> str:
+    """The signs of the decimal digits of ``n`` other than 0; ``sign``: (place, digit) to text."""
+    digits = str(n)
+    return "".join(sign(len(digits) - 1 - k, int(d)) for k, d in enumerate(digits) if d != "0")
+
+
 def _greek(n: int, table: str) -> str:
-    def below(m: int) -> str:
-        out, place = "", 0
-        while m:
-            m, d = divmod(m, 10)
-            if d:
-                sign = table[d - 1 + 9 * (place % 3)]
-                out = ("͵" if place > 2 else "") + (table[19] + table[20] if sign == "ϛ" else sign) + out
-            place += 1
-        return out
+    signs = [x.replace("ϛ", table[19] + table[20]) for x in table]
+    myriads = ((n // 10**8, "ΜΜ"), (n // 10**4 % 10**4, "Μ"), (n % 10**4, ""))
+    return ".".join(mark + _by_place(g, lambda place, d: "͵" * (place > 2) + signs[9 * (place % 3) + d - 1]) for g, mark in myriads if g)
 
-    out = ""
-    for myriads in (2, 1):
-        size = 10_000**myriads
-        if n >= size:
-            out += "Μ" * myriads + below(n // size)
-            n %= size
-            out += "." if n else ""
-    return out + below(n)
 
+def _hebrew_letters(n: int) -> str:
+    """Of 1 to 999: hundreds beyond 400 stack, and 15 and 16 avoid the letters of a name."""
+    letter = {value: sign for sign, value in HEBREW_VALUES}
+    hundreds, low = divmod(n, 100)
+    high = letter[400] * (hundreds // 4) + letter.get(hundreds % 4 * 100, "")
+    return high + (letter[9] + letter[low - 9] if low in (15, 16) else _by_place(low, lambda place, d: letter[d * 10**place]))
 
-def _hebrew(n: int, last: bool = True) -> str:
-    head, rest = "", n % 1000
-    if n > 1000:
-        head = _hebrew(n // 1000, rest != 0) + " "
-    if rest == 0:
-        return head + ("אלף" if n == 1000 else "אלפים" if last else "אלפי")
-    for letter, value in ((x, v) for x, v in HEBREW_VALUES):
-        while rest >= value:
-            if rest in (15, 16) and value == 10:
-                break
-            head, rest = head + letter, rest - value
-    return head
+
+def _hebrew(n: int) -> str:
+    """Groups of three digits, highest first; a group of nought is a word for the thousands before it."""
+    groups = [n // 1000**k % 1000 for k in range(len(str(n)) // 3 + 1)]
+    top = max(k for k, g in enumerate(groups) if g)
+    parts = [_hebrew_letters(groups[top])]
+    for k in range(top - 1, -1, -1):
+        if not groups[k] and k == top - 1 and groups[top] == 1:
+            parts = ["אלף"]
+        else:
+            parts.append(_hebrew_letters(groups[k]) if groups[k] else "אלפים" if k == 0 or groups[k - 1] else "אלפי")
+    return " ".join(parts)
 
 
 def _rovas(n: int) -> str:
-    out = ""
-    for scale, sign in ((10**9, "\U00010cff" * 3), (10**6, "\U00010cff" * 2), (1000, "\U00010cff"), (100, "\U00010cfe")):
-        count, n = divmod(n, scale)
-        if count:
-            out += (_rovas(count) if count > 1 else "") + sign
-    for k, unit in ((3, 50), (2, 10), (1, 5), (0, 1)):
-        count, n = divmod(n, unit)
-        out += chr(0x10CFA + k) * count
-    return out
+    """Counts before the signs of thousands and hundreds, and repeated signs of 50, 10, 5 and 1 behind."""
+    one, five, ten, fifty, hundred, thousand = (chr(0x10CFA + k) for k in range(6))
+    grouped = ((n // 10**9, thousand * 3), (n // 10**6 % 1000, thousand * 2), (n // 1000 % 1000, thousand), (n // 100 % 10, hundred))
+    counted = "".join((_rovas(count) if count > 1 else "") + sign for count, sign in grouped if count)
+    units = {0: (five, one), 1: (fifty, ten)}
+    return counted + _by_place(n % 100, lambda place, d: units[place][0] * (d // 5) + units[place][1] * (d % 5))
 
 
 def label(value: int, name: str) -> str:

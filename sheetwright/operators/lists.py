@@ -50,61 +50,40 @@ def simple_labels(paras: DataFrame, keys: list[str], order: str, kind: str = "li
     return out.withColumn("label", label).drop("list_no", *[f"cut_{k}" for k in range(most)])
 
 
-def make_label(levels: list[dict], level: int, counters: list[int | None], starts: list[dict]) -> str | None:
-    """A level's label: ``%n`` stands for the number of level n."""
-    own = levels[level]
-    template = own["template"]
-    if own["format"] == "Bullet":
-        return template if template.strip() else None
-    if own["format"] == "None" and re.search(r"%[1-9]", template):  # only what stands before the first mark and behind the last
-        last = template.rindex("%")
-        behind = last + 2 if re.match(r"%[1-9]", template[last:]) else last + 1
-        template = template[: template.index("%")] + template[behind:]
-    out, at = "", 0
-    while at < len(template):
-        if not (m := re.compile(r"%([1-9])").match(template, at)):
-            out += template[at]
-            at += 1
-            continue
-        k, at = int(m[1]) - 1, m.end()
-        other = levels[k]
-        if other["format"] == "None":  # left out, with the text up to the next number
-            following = re.compile(r"%[1-9]").search(template, at)
-            at = following.start() if following else at
-            continue
-        number = counters[k] if counters[k] is not None else starts[k]["start"]
-        plain = own.get("legal") and other["format"] not in (*ARABIC, "Bullet")
-        out += numbering.label(number, "Decimal" if plain else other["format"])
-    return out if out.strip() else None
-
-
-class Numberer:
-    """The counters of one group of definitions."""
-
-    def __init__(self):
-        self.counters: list[int | None] = [None] * LEVELS
-        self.starts: list[dict] | None = None
-        self.seen: set = set()
-
-    def advance(self, definition, levels: list[dict], level: int, restart: int | None = None, leads: bool = True) -> tuple[str | None, int]:
-        """The next label of ``level``. leads: the definition is its group's own."""
-        self.starts = self.starts or levels
-        if definition not in self.seen:
-            self.seen.add(definition)
-            if not leads:
-                self.counters, self.starts = [None] * LEVELS, levels
-        level = max(0, min(level, LEVELS - 1))
-        have = self.counters[level]
-        self.counters[level] = restart if restart is not None else self.starts[level]["start"] if have is None else have + 1
-        for above in range(level):
-            if self.counters[above] is None:
-                self.counters[above] = self.starts[above]["start"]
-        for deeper in range(level + 1, LEVELS):
-            after = levels[deeper].get("restart_after")
-            after = deeper - 1 if after is None else after
-            if 0 <= after and level <= after:
-                self.counters[deeper] = None
-        return make_label(levels, level, self.counters, self.starts), self.counters[level]
+class Definition:
+    """A list's nine levels, compiled: each template's texts and the levels of the numbers between them, and what restarts behind a level."""
+
+    def __init__(self, levels: list[dict]):
+        self.levels = full_levels(levels)
+        split = [re.split(r"%([1-9])", level["template"]) for level in self.levels]
+        self.texts = [parts[::2] for parts in split]
+        self.numbers = [[int(d) - 1 for d in parts[1::2]] for parts in split]
+        self.starts = {k: level["start"] for k, level in enumerate(self.levels)}
+        after = [k - 1 if level["restart_after"] is None else level["restart_after"] for k, level in enumerate(self.levels)]
+        self.restarted = [{deeper for deeper in range(k + 1, LEVELS) if after[deeper] >= k} for k in range(LEVELS)]
+
+    def _number(self, own: dict, k: int, numbers: dict[int, int]) -> str:
+        shown = self.levels[k]["format"]
+        return numbering.label(numbers[k], "Decimal" if own["legal"] and shown not in (*ARABIC, "Bullet") else shown)
+
+    def label(self, level: int, numbers: dict[int, int]) -> str | None:
+        """The label of ``level``. A number of a level without format goes, with the text between it and the next number; such a level's own label keeps its outer texts."""
+        own, texts, shown = self.levels[level], self.texts[level], self.numbers[level]
+        if own["format"] == "Bullet":
+            made = own["template"]
+        elif own["format"] == "None" and shown:
+            made = texts[0].partition("%")[0] + texts[-1].rpartition("%")[2]
+        else:
+            blank, last = [self.levels[k]["format"] == "None" for k in shown], len(shown) - 1
+            made = texts[0] + "".join(("" if b else self._number(own, k, numbers)) + ("" if b and i < last else texts[i + 1]) for i, (k, b) in enumerate(zip(shown, blank, strict=True)))
+        return made if made.strip() else None
+
+
+def next_numbers(numbers: dict[int, int], level: int, starts: dict[int, int], restarted: set[int], restart: int | None = None) -> dict[int, int]:
+    """The numbers by level once ``level`` goes on: outer levels that have none get their start, restarted ones lose theirs."""
+    own = restart if restart is not None else numbers[level] + 1 if level in numbers else starts[level]
+    outer = {k: starts[k] for k in range(level)}
+    return outer | {k: n for k, n in numbers.items() if k not in restarted} | {level: own}
 
 
 def full_levels(levels: list[dict]) -> list[dict]:
@@ -118,14 +97,20 @@ def number_lists(items: DataFrame, definitions: dict[str, dict]) -> DataFrame:
 
     definitions: name to {"group": name, "levels": [...]}. A document's list items of one group are one fold.
     """
-    levels = {name: full_levels(d.get("levels", [])) for name, d in definitions.items()}
+    known_lists = {name: Definition(d.get("levels", [])) for name, d in definitions.items()}
     group = {name: d.get("group") or name for name, d in definitions.items()}
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        state, rows = Numberer(), []
+        numbers: dict[int, int] = {}
+        starts, seen, rows = None, set(), []
         for c in frame.sort_values("position", kind="stable").itertuples():
-            text, ordinal = state.advance(c.definition, levels[c.definition], int(c.level), None if pd.isna(c.restart) else int(c.restart), leads=group[c.definition] == c.definition)
-            rows.append((c.doc_id, c.position, text, ordinal))
+            used = known_lists[c.definition]
+            if starts is None or (c.definition not in seen and group[c.definition] != c.definition):  # a further list of a group begins anew
+                starts, numbers = used.starts, {}
+            seen.add(c.definition)
+            level = max(0, min(int(c.level), LEVELS - 1))
+            numbers = next_numbers(numbers, level, starts, used.restarted[level], None if pd.isna(c.restart) else int(c.restart))
+            rows.append((c.doc_id, c.position, used.label(level, starts | numbers), numbers[level]))
         return pd.DataFrame(rows, columns=["doc_id", "position", "label", "ordinal"])
 
     pairs = F.create_map(*[F.lit(x) for p in group.items() for x in p])
