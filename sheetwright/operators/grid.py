@@ -234,22 +234,36 @@ def place_cells(cells: DataFrame, order: str = "order") -> DataFrame:
 # -- paragraph ranges
 
 
-def shift_range(start: Column, count: Column, at: Column, removed: Column, inserted: Column) -> tuple[Column, Column]:
-    """A paragraph range after an edit at ``at``: boundaries behind the edit move, those inside it fall to its start."""
+#: Whether text put in at a range's start, and at its end, moves that boundary.
+AFFINITIES = {"Default": (False, False), "ShiftAtStart": (True, False), "ExpandAtEnd": (False, True), "ExpandBoth": (False, True), "StrictInterior": (True, False)}
 
-    def move(p: Column, end: bool) -> Column:
-        behind = p >= at + removed if not end else p > at + removed - F.when(removed > 0, 1).otherwise(0)
-        return F.when(p <= at, p).when(behind, p - removed + inserted).otherwise(at + F.least(p - at, inserted))
 
-    first, last = move(start, False), move(start + count, True)
-    return first, F.greatest(last - first, F.lit(0))
+def shift_range(start: Column, count: Column, at: Column, removed: Column, inserted: Column, affinity: str = "Default") -> tuple[Column, Column]:
+    """A paragraph range after an edit at ``at``: boundaries behind the edit slide, those inside what went fall to its start.
 
-
-def relocate_range(start: Column, at: Column, count: Column, target: Column) -> Column:
-    """Where a paragraph lands when the block [at, at + count) moves in front of ``target``."""
-    inside = (start >= at) & (start < at + count)
-    down = target > at
-    return F.when(inside & down, start + target - at - count).when(inside, start - at + target).when(down & (start >= at + count) & (start < target), start - count).when(~down & (start >= target) & (start < at), start + count).otherwise(start)
+    A boundary at the edit stays, unless text is only put in and the affinity
+    moves it. An empty range slides as a whole.
+    """
+    moves_start, moves_end = AFFINITIES[affinity]
+    grown = inserted - removed
+
+    def boundary(p: Column, moves: bool) -> Column:
+        pinned = (p < at) | ((p == at) & ((removed > 0) | F.lit(not moves)))
+        return F.when(pinned, p).otherwise(F.when(p >= at + removed, p + grown).otherwise(at))
+
+    first, last = boundary(start, moves_start), boundary(start + count, moves_end)
+    slides = (at < start) | ((at == start) & F.lit(moves_start))
+    return F.when(count != 0, first).when(slides, start + grown).otherwise(start), F.when(count != 0, F.greatest(last - first, F.lit(0))).otherwise(count)
+
+
+def relocate_range(start: Column, count: Column, at: Column, moved: Column, target: Column) -> Column:
+    """Where a paragraph range begins when the block [at, at + moved) goes in front of ``target``. Ranges that straddle a border of the move stay."""
+    last, down = start + count, target > at
+    within = lambda low, high: (start >= low) & (last <= high)
+    own = within(at, at + moved)
+    by = F.when(own, F.when(down, target - moved).otherwise(target) - at)
+    by = by.when(down & within(at + moved, target), -moved).when(~down & within(target, at), moved).otherwise(0)
+    return start + F.when((moved > 0) & (target != at), by).otherwise(0)
 
 
 def range_violations(cells: DataFrame) -> DataFrame:

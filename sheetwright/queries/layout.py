@@ -88,21 +88,25 @@ def border_arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.effective_borders(cells).select("grid", "row", "col", F.col("effective_left")["thickness"].alias("thickness"), F.col("effective_left")["style"].alias("style"))
 
 
-@_r.add("""WITH e AS (SELECT event_id, event_id % 40 AS s, event_id % 5 + 1 AS n, event_id % 17 AS a, event_id % 4 AS removed, event_id % 3 AS inserted FROM events),
- m AS (SELECT *, CASE WHEN s <= a THEN s WHEN s >= a + removed THEN s - removed + inserted ELSE a + least(s - a, inserted) END AS first,
- CASE WHEN s + n <= a THEN s + n WHEN s + n > a + removed - (removed > 0)::INT THEN s + n - removed + inserted ELSE a + least(s + n - a, inserted) END AS last FROM e)
-SELECT event_id, first AS start, greatest(last - first, 0) AS count FROM m""")
+@_r.add("""WITH e AS (SELECT event_id, event_id % 40 AS s, event_id % 5 AS n, event_id % 17 AS a, event_id % 4 AS r, event_id % 3 AS i, unnest([{'k': 'Default', 'x': 0, 'y': 0}, {'k': 'ShiftAtStart', 'x': 1, 'y': 0}, {'k': 'ExpandAtEnd', 'x': 0, 'y': 1}, {'k': 'ExpandBoth', 'x': 0, 'y': 1}, {'k': 'StrictInterior', 'x': 1, 'y': 0}]) AS f FROM events),
+ b AS (SELECT *, least(s, a) + greatest(s - a - r, 0) + i * (CASE WHEN (s > a AND s >= a + r) OR (s = a AND r = 0 AND f.x = 1) THEN 1 ELSE 0 END) AS u,
+  least(s + n, a) + greatest(s + n - a - r, 0) + i * (CASE WHEN (s + n > a AND s + n >= a + r) OR (s + n = a AND r = 0 AND f.y = 1) THEN 1 ELSE 0 END) AS v FROM e)
+SELECT event_id, f.k AS affinity, CASE WHEN n > 0 THEN u WHEN a < s OR (a = s AND f.x = 1) THEN s + i - r ELSE s END AS start, CASE WHEN n > 0 THEN greatest(v - u, 0) ELSE 0 END AS count FROM b""")
 def shift_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges, also empty ones, after an edit, under each affinity."""
     e = F.col("event_id")
-    start, count = grid.shift_range(e % 40, e % 5 + 1, e % 17, e % 4, e % 3)
-    return table(spark, sf_dir, "events").select("event_id", start.alias("start"), count.alias("count"))
+    moved = [F.struct(F.lit(name).alias("affinity"), *[c.alias(k) for k, c in zip(("start", "count"), grid.shift_range(e % 40, e % 5, e % 17, e % 4, e % 3, name), strict=True)]) for name in grid.AFFINITIES]
+    return table(spark, sf_dir, "events").select("event_id", F.explode(F.array(*moved)).alias("m")).select("event_id", "m.*")
 
 
-@_r.add("""WITH e AS (SELECT event_id, event_id % 30 AS s, event_id % 11 AS a, event_id % 3 + 1 AS n, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 20 END AS t FROM events)
-SELECT event_id, CASE WHEN s >= a AND s < a + n AND t > a THEN s + t - a - n WHEN s >= a AND s < a + n THEN s - a + t WHEN t > a AND s >= a + n AND s < t THEN s - n WHEN t <= a AND s >= t AND s < a THEN s + n ELSE s END AS start FROM e""")
+@_r.add("""WITH e AS (SELECT event_id, event_id % 30 AS s, event_id % 4 + 1 AS c, event_id % 11 AS a, event_id % 3 + 1 AS n, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 20 END AS t FROM events),
+ o AS (SELECT *, CASE WHEN t = a THEN range(40) WHEN t > a THEN range(a) || range(a + n, t) || range(a, a + n) || range(t, 40) ELSE range(t) || range(a, a + n) || range(t, a) || range(a + n, 40) END AS ordered FROM e),
+ p AS (SELECT *, list_transform(range(s, s + c), lambda x: list_position(ordered, x) - 1) AS places FROM o)
+SELECT event_id, CASE WHEN places = range(list_min(places), list_min(places) + c) THEN list_min(places) ELSE s END AS start FROM p""")
 def relocate_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of one to four paragraphs; the SQL moves the paragraphs themselves."""
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").select("event_id", grid.relocate_range(e % 30, e % 11, e % 3 + 1, F.when(e % 2 == 0, 0).otherwise(20)).alias("start"))
+    return table(spark, sf_dir, "events").select("event_id", grid.relocate_range(e % 30, e % 4 + 1, e % 11, e % 3 + 1, F.when(e % 2 == 0, 0).otherwise(20)).alias("start"))
 
 
 #: Lines of orders as obstacles on a page for each order; the orders themselves are lines of text.
