@@ -16,16 +16,30 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 
 
-def key_of(col: Column, numeric: bool) -> Column:
-    """Numbers to nine decimals, text without case."""
-    return F.round(col.cast("double"), 9) if numeric else F.upper(col.cast("string"))
+#: Numbers that differ by less are equal.
+TOLERANCE = 1e-9
 
 
 def lookup_exact(left: DataFrame, target: str, table: DataFrame, key: str, order: str, values: list[str], numeric: bool = True) -> DataFrame:
-    """Adds ``values`` of the first row of ``table`` (by ``order``) whose key equals ``target``; null and #N/A if none."""
-    first = table.where(F.col(key).isNotNull()).groupBy(key_of(F.col(key), numeric).alias("lookup_key")).agg(F.min_by(F.struct(*values), F.col(order)).alias("lookup_row"))
-    joined = left.join(first, key_of(left[target], numeric) == F.col("lookup_key"), "left")
-    found = F.col("lookup_row")
+    """Adds ``values`` of the first row of ``table`` (by ``order``) whose key equals ``target``; null and #N/A if none.
+
+    Numbers are equal within ``TOLERANCE``, text without case. A number's cell of
+    that width and the two beside it hold all keys equal to it, so a row of the
+    table stands in three cells and a row of ``left`` looks into one.
+    """
+    own = F.col(key).cast("double") if numeric else F.upper(F.col(key).cast("string"))
+    first = table.where(F.col(key).isNotNull()).groupBy(own.alias("lookup_key")).agg(F.min(F.struct(F.col(order).alias("o"), F.struct(*values).alias("row"))).alias("lookup_row"))
+    if numeric:
+        cell = lambda x: F.floor(x / TOLERANCE).cast("double")
+        cells = F.array_distinct(F.array(*[cell(F.col("lookup_key")) + k for k in (-1.0, 0.0, 1.0)]))
+        listed = F.array_sort(F.collect_list(F.struct(F.col("lookup_row")["o"].alias("o"), "lookup_key", F.col("lookup_row")["row"].alias("row"))))
+        near = first.select(F.explode(cells).alias("lookup_cell"), "lookup_key", "lookup_row").groupBy("lookup_cell").agg(listed.alias("lookup_near"))
+        x = left[target].cast("double")
+        joined = left.join(near, cell(x) == F.col("lookup_cell"), "left")
+        found = F.get(F.filter("lookup_near", lambda c: F.abs(c["lookup_key"] - F.col(target).cast("double")) < TOLERANCE), F.lit(0))["row"]
+    else:
+        joined = left.join(first, F.upper(left[target].cast("string")) == F.col("lookup_key"), "left")
+        found = F.col("lookup_row")["row"]
     return joined.select(*left.columns, *[found[v].alias(v) for v in values], F.when(found.isNull(), F.lit("#N/A")).alias("lookup_error"))
 
 
