@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,6 +141,36 @@ def utf16_length(s: Column) -> Column:
     return (F.octet_length(F.encode(s, "UTF-16BE")) / 2).cast("double")
 
 
+def cased(text: str, upper: bool) -> str:
+    """``text`` in capitals or small letters, one letter for one: a letter whose other case is several letters stays, or takes its title form."""
+    if len(text) == len(text.upper() if upper else text.lower()) and "Σ" not in text:
+        return text.upper() if upper else text.lower()
+    return "".join(_cased_letter(c, upper) for c in text)
+
+
+def _cased_letter(c: str, upper: bool) -> str:
+    other, title = (c.upper(), c.title()) if upper else (c.lower(), c)
+    return other if len(other) == 1 else title if len(title) == 1 else c
+
+
+@functools.lru_cache(maxsize=2)
+def _odd_letters(upper: bool) -> str:
+    """Letters that change their number with their case, and the sigma, which looks at its neighbours."""
+    every = (chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    return "".join(c for c in every if len(c.upper() if upper else c.lower()) > 1 or (not upper and c == "Σ"))
+
+
+def _cased_column(upper: bool):
+    def run(s: Column) -> Column:
+        odd = _odd_letters(upper)
+        plain = F.upper if upper else F.lower
+        pieces = F.split(s, f"(?<=[{odd}])|(?=[{odd}])")
+        apart = F.transform(pieces, lambda p: F.when(p.rlike(f"^[{odd}]$"), F.translate(p, odd, "".join(_cased_letter(c, upper) for c in odd))).otherwise(plain(p)))
+        return F.when(s.rlike(f"[{odd}]"), F.array_join(apart, "")).otherwise(plain(s))
+
+    return run
+
+
 def _trim(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, r"^[\s\p{Z}\x{85}]+", ""), r"[\s\p{Z}\x{85}]+$", "")
 
@@ -261,8 +293,8 @@ FUNCTIONS = {
     "POWER": (2, 2, _on_number(lambda a, b, err: V.guard(F.pow(a, b), err))),
     "SIGN": (1, 1, _on_number(lambda x, err: V.number(F.signum(x), err))),
     "LEN": (1, 1, lambda v: V.number(utf16_length(V.as_text(v)), V.err_of(v))),
-    "UPPER": (1, 1, _text1(F.upper)),
-    "LOWER": (1, 1, _text1(F.lower)),
+    "UPPER": (1, 1, _text1(_cased_column(True))),
+    "LOWER": (1, 1, _text1(_cased_column(False))),
     "TRIM": (1, 1, _text1(_trim)),
     "LEFT": (1, 2, _side(False)),
     "RIGHT": (1, 2, _side(True)),

@@ -8,6 +8,9 @@ the argument is a directional range (``over_rows``).
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
@@ -36,6 +39,13 @@ def literal(node: S.Literal) -> Val:
     return V.text(F.lit(node.value)) if isinstance(node.value, str) else V.number(F.lit(float(node.value)))
 
 
+def _middle(numbers: Column) -> Column:
+    """The median of a sorted array; null for an empty one."""
+    n = F.size(numbers)
+    low, high = F.get(numbers, F.floor((n - 1) / 2).cast("int")), F.get(numbers, F.floor(n / 2).cast("int"))
+    return F.when(n > 0, (low + high) / 2)
+
+
 class Compiler:
     def __init__(self, df: DataFrame, names: dict[str, str] | None = None):
         """names: formula names to columns; the columns' own names work as well, without case."""
@@ -119,46 +129,58 @@ class Compiler:
         if not isinstance(node, S.Call):
             return V.error(V.VALUE)
         run = (lambda c: c.over(over)) if over is not None else (lambda c: c)
-        return self._call_aggregate(node, order, run)
+        return self._call_aggregate(node, order, run, over is not None)
 
-    def _call_aggregate(self, node: S.Call, order, run) -> Val:
+    def _call_aggregate(self, node: S.Call, order, run, windowed: bool) -> Val:
         name, args = node.name, node.args
         if name in ("COUNTIF", "SUMIF"):
             return self._conditional(node, run)
-        if len(args) != 1:
+        if not args:
             return V.error(V.VALUE)
-        v = self.value(args[0])
-        kind = V.err_of(v)
-        ok = F.lit(True) if kind is None else kind.isNull()
-        n = V.Val(v.kind, v.col).col if v.kind == "number" else v.col["n"] if v.kind == "any" else F.lit(None).cast("double")
-        counted = F.when(ok, n)  # only cells that are numbers count
-        err = None
-        if kind is not None and name not in ("COUNT", "COUNTA"):
-            err = run(F.min_by(kind, F.when(kind.isNotNull(), F.col(order))) if order else F.min(kind))
+        cells = [self.value(a) for a in args]
+        numbers, errors = [], []
+        for v in cells:
+            kind = V.err_of(v)
+            n = v.col if v.kind == "number" else v.col["n"] if v.kind == "any" else F.lit(None).cast("double")
+            numbers.append(n if kind is None else F.when(kind.isNull(), n))  # only cells that are numbers count
+            if kind is not None and name not in ("COUNT", "COUNTA"):
+                errors.append(run(F.min_by(kind, F.when(kind.isNotNull(), F.col(order))) if order else F.min(kind)))
+        err = V.first_error(*errors)
+        parts = lambda of: [run(of(n)) for n in numbers]
+        added = lambda columns: functools.reduce(operator.add, columns)
+        pick = lambda of, columns: of(*columns) if len(columns) > 1 else columns[0]
         if name == "SUM":
-            return V.guard(F.coalesce(run(F.sum(counted)), F.lit(0.0)), err)
+            return V.guard(added([F.coalesce(x, F.lit(0.0)) for x in parts(F.sum)]), err)
         if name in ("AVERAGE", "AVG"):
-            mean = run(F.avg(counted))
+            mean = run(F.avg(numbers[0])) if len(numbers) == 1 else F.try_divide(added([F.coalesce(x, F.lit(0.0)) for x in parts(F.sum)]), added(parts(F.count)))
             return V.number(mean, V.first_error(err, F.when(mean.isNull(), F.lit(V.DIV0))))
         if name == "COUNT":
-            return V.number(run(F.count(counted)).cast("double"))
+            return V.number(added(parts(F.count)).cast("double"))
         if name == "COUNTA":
-            return V.number(run(F.count_if(~V.is_empty(v))).cast("double"))
+            return V.number(added([run(F.count_if(~V.is_empty(v))) for v in cells]).cast("double"))
         if name == "MIN":
-            return V.number(F.coalesce(run(F.min(counted)), F.lit(0.0)), err)
+            return V.number(F.coalesce(pick(F.least, parts(F.min)), F.lit(0.0)), err)
         if name == "MAX":
-            return V.number(F.coalesce(run(F.max(counted)), F.lit(0.0)), err)
+            return V.number(F.coalesce(pick(F.greatest, parts(F.max)), F.lit(0.0)), err)
         if name == "PRODUCT":
-            return V.guard(F.coalesce(run(F.product(counted)), F.lit(0.0)), err)
+            some = functools.reduce(operator.or_, [x > 0 for x in parts(F.count)])
+            product = functools.reduce(operator.mul, [F.coalesce(x, F.lit(1.0)) for x in parts(F.product)])
+            return V.guard(F.when(some, product).otherwise(F.lit(0.0)), err)
         if name == "MEDIAN":
-            middle = run(F.median(counted))
+            middle = run(F.median(numbers[0])) if len(numbers) == 1 and not windowed else _middle(F.array_sort(pick(F.concat, parts(F.collect_list))))
             return V.number(middle, V.first_error(err, F.when(middle.isNull(), F.lit(V.NUM))))
         if name in ("AND", "OR"):
-            got, bad = V.as_boolean(v)
-            found = (F.bool_and if name == "AND" else F.bool_or)(got)
-            return V.boolean(F.coalesce(run(found), F.lit(False)), V.first_error(err, run(F.min(bad)) if bad is not None else None))
-        rows = F.array_sort(F.collect_list(F.struct(F.col(order) if order else F.lit(0), V.as_text(v).alias("s"))))
-        return V.text(run(F.array_join(F.transform(rows, lambda x: x["s"]), "")), err)
+            found, bad = [], []
+            for v in cells:
+                got, wrong = V.as_boolean(v)
+                found.append(F.coalesce(run((F.bool_and if name == "AND" else F.bool_or)(got)), F.lit(name == "AND" and len(cells) > 1)))
+                bad += [run(F.min(wrong))] if wrong is not None else []
+            return V.boolean(functools.reduce(operator.and_ if name == "AND" else operator.or_, found), V.first_error(err, *bad))
+        texts = []
+        for v in cells:
+            rows = F.array_sort(run(F.collect_list(F.struct(F.col(order) if order else F.lit(0), V.as_text(v).alias("s")))))
+            texts.append(F.array_join(F.transform(rows, lambda x: x["s"]), ""))
+        return V.text(pick(F.concat, texts), err)
 
     def _conditional(self, node: S.Call, run) -> Val:
         name, args = node.name, node.args

@@ -3,7 +3,10 @@
 import math
 
 import pytest
+from pyspark.sql import Window
 
+from sheetwright.functions import scalars
+from sheetwright.functions import values as V
 from sheetwright.plans import recalc, syntax
 from sheetwright.plans.columns import Compiler
 
@@ -130,3 +133,27 @@ def test_addresses():
     assert all(syntax.letters_to_index(syntax.index_to_letters(k)) == k for k in range(0, 20_000, 7))
     assert syntax.parse_range("$B$3:A1") == (0, 0, 2, 1) and syntax.parse_range("A:C")[1:] == (0, syntax.OPEN_END, 2)
     assert syntax.parse_address("A0") is None and math.isclose(1, 1)
+
+
+def test_aggregates_of_several_arguments(spark):
+    df = spark.createDataFrame([(1, 2.0, 10.0), (2, None, 20.0), (3, 4.0, None)], "k int, a double, b double")
+    c = Compiler(df, {"a": "a", "b": "b"})
+    want = {"SUM": 36.0, "AVERAGE": 9.0, "COUNT": 4.0, "COUNTA": 4.0, "MIN": 2.0, "MAX": 20.0, "PRODUCT": 1600.0, "MEDIAN": 7.0}
+    got = df.agg(*[c.aggregate_number(f"={name}(a,b)").alias(name) for name in want]).first().asDict()
+    assert got == want
+
+
+def test_median_of_a_direction(spark):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate([3.0, 1.0, None, 7.0, 5.0])], "k int, a double")
+    c = Compiler(df, {"a": "a"})
+    got = df.select("k", V.as_number(c.over_rows("=MEDIAN(ABOVE)", Window.orderBy("k"), "a"))[0].alias("m")).orderBy("k").collect()
+    assert [r["m"] for r in got] == [None, 3.0, 2.0, 2.0, 3.0]
+
+
+def test_case_is_one_letter_for_one(spark):
+    texts = ["straße ŉ ᾀ ﬁ", "ΣΑΣ İ ẞ", "plain"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    c = Compiler(df, {"t": "t"})
+    got = df.select(V.as_text(c.value(syntax.parse("=UPPER(t)"))), V.as_text(c.value(syntax.parse("=LOWER(t)")))).collect()
+    assert [tuple(r) for r in got] == [("STRAßE ŉ ᾈ ﬁ", "straße ŉ ᾀ ﬁ"), ("ΣΑΣ İ ẞ", "σασ İ ß"), ("PLAIN", "plain")]
+    assert [scalars.cased(t, True) for t in texts] == [r[0] for r in got] and [scalars.cased(t, False) for t in texts] == [r[1] for r in got]

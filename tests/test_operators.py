@@ -118,6 +118,39 @@ def test_lookup_near_large_and_small_agree(spark, monkeypatch):
         assert (name, err) == ((f"r{stop - 1}", "-") if stop else ("-", "#N/A"))
 
 
+def _plain_band(top, height, left, right, obstacles):
+    """Free room beside the obstacles of a line, by hand."""
+    met = [o for o in obstacles if o["top"] < top + height - 0.001 and o["bottom"] > top + 0.001]
+    kinds = {kind: [o for o in met if o["kind"] == kind] for kind in ("FloatLeft", "FloatRight", "Clearance", "Side")}
+    left, right = max([left] + [o["right"] for o in kinds["FloatLeft"]]), min([right] + [o["left"] for o in kinds["FloatRight"]])
+    shut = bool(kinds["Clearance"])
+    for o in kinds["Side"]:
+        a, b = max(left, o["left"]), min(right, o["right"])
+        if not shut and left + 0.001 < right and a + 0.001 < b:
+            left, right = (left, a) if a - left >= right - b else (b, right)
+    return left, 0.0 if shut or right <= left + 0.001 else right - left
+
+
+def _plain_resolved(top, height, obstacles, least):
+    """Where a line of the page lands: down to the end of what blocks it, 16 times at most."""
+    first = top
+    for _ in range(16):
+        def pushed(some, at):
+            for o in some:
+                at = o["bottom"] if o["top"] < at + height - 0.001 and o["bottom"] > at + 0.001 else at
+            return at
+
+        cleared = pushed([o for o in obstacles if o["kind"] != "Side"], top)
+        band = _plain_band(top, height, 0.0, 100.0, obstacles)
+        if cleared <= top + 0.001 and band[1] >= least:
+            return top, top - first, *band
+        lower = cleared if cleared > top + 0.001 else pushed(obstacles, top)
+        if lower <= top + 0.001:
+            break
+        top = lower
+    return top, top - first, 0.0, 100.0
+
+
 def test_bands_against_a_fold(spark):
     random = np.random.default_rng(6)
     kinds = ["Side", "FloatLeft", "FloatRight", "Clearance"]
@@ -128,11 +161,15 @@ def test_bands_against_a_fold(spark):
     got = {(r["page"], r["line"]): (r["band_left"], r["band_width"]) for r in bands.compute_band(at, o, 0.0, 100.0).collect()}
     listed = {p: [r.asDict() for r in o.where(f"page = {p}").orderBy("seq").collect()] for p in range(20)}
     for p, k, top, height in lines:
-        want = bands._band(top, height, 0.0, 100.0, listed[p], "Largest")
+        want = _plain_band(top, height, 0.0, 100.0, listed[p])
         assert got[p, k][1] == pytest.approx(want[1]) and (want[1] == 0 or got[p, k][0] == pytest.approx(want[0]))
     free = bands.free_intervals(at, o.where("kind = 'Side'"), 0.0, 100.0)
     assert free.where("band_width <= 0 or band_left < 0 or band_left + band_width > 100").count() == 0
     assert bands.resolve_lines(at, o, 0.0, 100.0, least_width=60.0).where("skip < 0").count() == 0
+    moved = {(r["page"], r["line"]): (r["top"], r["skip"], r["band_left"], r["band_width"]) for r in bands.resolve_lines(at, o, 0.0, 100.0, least_width=60.0).collect()}
+    assert len(moved) == len(lines)
+    for p, k, top, height in lines:
+        assert moved[p, k] == pytest.approx(_plain_resolved(top, height, listed[p], 60.0)), (p, k)
 
 
 def test_paging(spark):
@@ -162,3 +199,27 @@ def test_streamed_notes(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("notes").collect())) == [(1, 0, "1"), (1, 1, "2"), (1, 2, "*"), (1, 3, "3"), (1, 4, "4"), (2, 0, "1"), (2, 1, "2")]
+
+
+@pytest.mark.parametrize(
+    ("given", "affinity", "want"),
+    [((10, 4, 10, 0, 2), "Default", (10, 6)), ((10, 4, 14, 0, 2), "Default", (10, 4)), ((10, 4, 10, 0, 2), "ShiftAtStart", (12, 4)), ((10, 4, 14, 0, 2), "ExpandAtEnd", (10, 6)), ((10, 4, 10, 0, 2), "StrictInterior", (12, 4)), ((10, 4, 14, 0, 2), "StrictInterior", (10, 4)), ((5, 0, 2, 0, 3), "Default", (8, 0)), ((5, 0, 10, 0, 3), "Default", (5, 0)), ((5, 0, 5, 0, 3), "ShiftAtStart", (8, 0)), ((10, 1, 10, 2, 1), "Default", (10, 0))],
+)
+def test_shifted_ranges(spark, given, affinity, want):
+    df = spark.createDataFrame([given], "s int, c int, a int, r int, i int")
+    start, count = grid.shift_range(*[F.col(x) for x in "scari"], affinity)
+    assert tuple(df.select(start, count).first()) == want
+
+
+def test_relocated_ranges(spark):
+    cases = {(4, 2, 4, 2, 0): 0, (0, 2, 4, 2, 0): 2, (2, 2, 4, 2, 0): 4, (10, 2, 4, 2, 0): 10, (0, 2, 0, 2, 6): 4, (2, 2, 0, 2, 6): 0, (4, 2, 0, 2, 6): 2, (3, 3, 4, 2, 0): 3, (6, 0, 4, 2, 0): 2}
+    df = spark.createDataFrame(list(cases), "s int, c int, a int, n int, t int")
+    got = df.select("*", grid.relocate_range(*[F.col(x) for x in "scant"]).alias("to")).collect()
+    assert {tuple(r)[:5]: r["to"] for r in got} == cases
+
+
+def test_numbers_within_the_tolerance_are_found(spark):
+    table = spark.createDataFrame([(1, 0.9999999998, "a"), (2, 1.0, "b"), (3, 5.0, "c"), (4, 1e15, "d"), (5, -2.0000000004, "e")], "k int, low double, name string")
+    left = spark.createDataFrame([(0, 1.0000000005), (1, 1.0000000012), (2, 5.0000000011), (3, 1e15), (4, -2.0), (5, None)], "id int, x double")
+    got = {r["id"]: (r["name"], r["lookup_error"]) for r in lookups.lookup_exact(left, "x", table, "low", "k", ["name"]).collect()}
+    assert got == {0: ("a", None), 1: (None, "#N/A"), 2: (None, "#N/A"), 3: ("d", None), 4: ("e", None), 5: (None, "#N/A")}
