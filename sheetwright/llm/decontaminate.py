@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetwright.llm.textcore import words
+from sheetwright.llm.textcore import slices, words
 from sheetwright.llm.workspace import Workspace
 
 FOUND = "doc_id long, item_id long, edits int, n_windows int, word_start int"
@@ -281,7 +281,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, rec
 
         def run(batches, sent=sent):
             vocabulary, groups = sent.value
-            for batch in batches:
+            for batch in slices(batches):
                 best: dict[tuple[int, int], list[int]] = {}
                 for w in words(batch.column("text"), lower=True):
                     if len(w.hashes):

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from sheetwright.llm.textcore import words
+from sheetwright.llm.textcore import slices, words
 from sheetwright.llm.workspace import ship
 
 #: First code points of script ranges, and the script there (0: other).
@@ -300,7 +300,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             names, share, spans, _ = _judge(model, batch.column("text"))
             yield pa.record_batch([batch.column("doc_id"), names, share, spans], names=["doc_id", "lang_pred", "score", "n_spans"])
 
@@ -317,7 +317,7 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("lang_pred", "lang_score", "lang_share")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             names, share, _, of_all = _judge(model, batch.column("text"))
             yield pa.record_batch([*batch.columns, names, share, of_all], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_share"])
 

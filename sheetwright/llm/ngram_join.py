@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from sheetwright.llm.components import connected_components
 from sheetwright.llm.skew import attach
-from sheetwright.llm.textcore import grams, mix64, words
+from sheetwright.llm.textcore import grams, mix64, slices, words
 from sheetwright.llm.workspace import Workspace
 
 #: Of a document's shingles, one in so many is the surplus of its columns.
@@ -85,7 +85,7 @@ def sign(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             size, key, rows = np.zeros(batch.num_rows, dtype=np.int64), [None] * batch.num_rows, [None] * batch.num_rows
             for row, shingles in shingle_sets(batch.column("text"), n):
                 size[row] = len(shingles)
@@ -95,7 +95,7 @@ def sign(docs: DataFrame, n: int, percent: int) -> DataFrame:
                         if len(seen) > 1 << 20:
                             seen.clear()
                         seen.add(key[row])
-                        rows[row] = shingles[: prefix_length(len(shingles), percent)].view(np.int64)
+                        rows[row] = shingles[: prefix_length(len(shingles), percent)].view(np.int64).copy()  # the rest of the set goes
             yield pa.record_batch([batch.column("doc_id"), batch.column("text_id"), pa.array(size), pa.array(key, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "text_id", "n_shingles", "set_key", "cols"])
 
     return docs.mapInArrow(run, SIGNED)
@@ -184,7 +184,7 @@ def own_texts(candidates: DataFrame, n: int) -> DataFrame:
     """The rows of ``candidates`` (set_key, text) whose text has that key: ids may be null or stand for several texts."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keys = batch.column("set_key").to_pylist()
             mask = pa.array([len(x) > 0 and set_key(x) == keys[row] for row, x in shingle_sets(batch.column("text"), n)], pa.bool_())
             yield batch.filter(mask)
@@ -199,7 +199,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 200):
             one, two = dict(shingle_sets(batch.column("text_a"), n)), dict(shingle_sets(batch.column("text_b"), n))
             keep = []
             for k in range(batch.num_rows):
@@ -234,7 +234,7 @@ def product_candidates(open_: DataFrame, texts: DataFrame, n: int, percent: int,
     words_of = BITS // 64
 
     def listed(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows, bits = [None] * batch.num_rows, [None] * batch.num_rows
             for row, shingles in shingle_sets(batch.column("text"), n):
                 rows[row], bits[row] = shingles.view(np.int64), difference_bits(shingles)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetwright.llm.textcore import slices
 from sheetwright.llm.tokens import encoder
 from sheetwright.llm.workspace import Workspace
 
@@ -77,7 +78,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int) -> D
 
         encode = encoder(tokenizer, end_id)
         random = np.random.default_rng([TaskContext.get().partitionId(), 5])
-        for batch in batches:
+        for batch in slices(batches):
             doc_ids, out = batch.column("doc_id").to_pylist(), []
             for row, ids, bounds in encode.encode(batch.column("text")):
                 data = ids.astype("<u4").tobytes()

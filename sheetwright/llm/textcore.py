@@ -41,6 +41,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Rows that an operator looks at together: batches of long texts would hold much at once.
+SLICE = 1000
+
+
+def slices(batches, rows: int = SLICE):
+    """Batches in slices of a few rows; at the end, what Arrow holds in reserve goes back."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def _factors_at(first: int, n: int) -> np.ndarray:
     """Odd factors of the places first, first + 1, ... in a word."""
     return mix64(np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
