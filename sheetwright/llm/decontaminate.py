@@ -7,7 +7,9 @@ or exchanged. Words are lower-cased (A-Z).
 
 Windows of each item size are embedded by the CGK random walk: a pointer moves
 along the words by one or stays, as a random bit for the step and the word
-says, and the words it stands on form a string. Words edited apart bring two
+says, and the words it stands on form a string. Half of the walks begin at the
+window's end, and each takes as many steps as the item has words: positions are
+sampled there, where few edits have parted two walks yet. Words edited apart bring two
 walks apart only for a while, so that edit distance becomes Hamming distance.
 Sampling a few positions of that string gives a bucket. Walks and samples are
 repeated until the target recall is reached at the largest distance allowed;
@@ -102,14 +104,15 @@ class RecallError(ValueError):
     """The samples allowed don't reach the target recall."""
 
 
-def walk(windows: np.ndarray, lengths: np.ndarray, moves: np.ndarray, pad: int) -> np.ndarray:
-    """The CGK strings of ``windows``, three steps for each word."""
+def walk(windows: np.ndarray, lengths: np.ndarray, moves: np.ndarray, pad: int, back: bool) -> np.ndarray:
+    """The CGK strings of ``windows``, a step for each row of ``moves``; ``back``: from their ends."""
     rows = np.arange(len(windows))
     at = np.zeros(len(windows), dtype=np.int64)
     out = np.empty((len(windows), len(moves)), dtype=np.int64)
-    wide = np.concatenate([windows, np.full((len(windows), 1), pad, dtype=windows.dtype)], axis=1)
+    last = windows.shape[1] - 1
     for step in range(len(moves)):
-        here = np.where(at < lengths, wide[rows, np.minimum(at, windows.shape[1])], pad)
+        place = lengths - 1 - at if back else np.minimum(at, last)
+        here = np.where(at < lengths, windows[rows, place], pad)
         out[:, step] = here
         at = np.minimum(at + moves[step, here], lengths)
     return out
@@ -153,17 +156,18 @@ def plan_groups(items: list[tuple[int, np.ndarray]], vocabulary: np.ndarray, sim
         pad = len(used) + 1
         table = np.stack([local[x] for _, x in own])
         random = np.random.default_rng([3, n])
-        moves = [random.integers(0, 2, (3 * n, pad + 1)) for _ in range(walks)]
-        picks = [[np.sort(random.choice(3 * n, min(sampled, 3 * n), replace=False)) for _ in range(most_samples)] for _ in range(walks)]
+        steps = max(4, n)
+        moves = [random.integers(0, 2, (steps, pad + 1)) for _ in range(walks)]
+        picks = [[np.sort(random.choice(steps, min(sampled, steps), replace=False)) for _ in range(most_samples)] for _ in range(walks)]
         full = np.full(len(table), n)
-        strings = [walk(table, full, m, pad) for m in moves]
+        strings = [walk(table, full, m, pad, v % 2 == 1) for v, m in enumerate(moves)]
         # how many samples: until edited items are found as often as wanted
         trial = np.tile(table, (max(1, 64 // len(table)), 1))
         changed, sizes = _edited(trial, most, len(used), random)
-        after = [walk(changed, sizes, m, pad) for m in moves]
+        after = [walk(changed, sizes, m, pad, v % 2 == 1) for v, m in enumerate(moves)]
         found, count = np.zeros(len(trial), dtype=bool), most_samples
         whole = np.full(len(trial), n)
-        before = [walk(trial, whole, m, pad) for m in moves]
+        before = [walk(trial, whole, m, pad, v % 2 == 1) for v, m in enumerate(moves)]
         for s in range(most_samples):
             for v in range(walks):
                 found |= bucket(before[v], picks[v][s]) == bucket(after[v], picks[v][s])
@@ -187,8 +191,8 @@ def plan_groups(items: list[tuple[int, np.ndarray]], vocabulary: np.ndarray, sim
 def candidates(group: SizeGroup, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of windows and items that share a bucket, once each."""
     pairs = []
-    for moves, picks, keys in zip(group.walks, group.samples, group.keys, strict=True):
-        strings = walk(windows, lengths, moves, group.pad)
+    for v, (moves, picks, keys) in enumerate(zip(group.walks, group.samples, group.keys, strict=True)):
+        strings = walk(windows, lengths, moves, group.pad, v % 2 == 1)
         for sample, (buckets, items) in zip(picks, keys, strict=True):
             got = bucket(strings, sample)
             first, last = np.searchsorted(buckets, got), np.searchsorted(buckets, got, side="right")
@@ -200,14 +204,22 @@ def candidates(group: SizeGroup, windows: np.ndarray, lengths: np.ndarray) -> tu
     return found // len(group.items), found % len(group.items)
 
 
-def _search(w, vocabulary: np.ndarray, groups: list[SizeGroup]):
-    """(row, item_id, edits, start) of the rows of one chunk."""
-    place = np.minimum(np.searchsorted(vocabulary, w.hashes), len(vocabulary) - 1)
-    number = np.where(vocabulary[place] == w.hashes, place + 1, 0)
+def _numbered(column, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a text column by their place in the vocabulary (0: not there), and the rows' offsets."""
+    numbers, sizes = [np.zeros(0, dtype=np.int64)], [np.zeros(1, dtype=np.int64)]
+    for w in words(column, lower=True):
+        place = np.minimum(np.searchsorted(vocabulary, w.hashes), len(vocabulary) - 1)
+        numbers.append(np.where(vocabulary[place] == w.hashes, place + 1, 0))
+        sizes.append(np.diff(w.offsets))
+    return np.concatenate(numbers), np.cumsum(np.concatenate(sizes))
+
+
+def _search(number: np.ndarray, offsets: np.ndarray, groups: list[SizeGroup]):
+    """(row, item_id, edits, start) of rows of numbered words."""
     total = len(number)
-    row_size = np.diff(w.offsets)
-    row_end = np.repeat(w.offsets[1:], row_size)
-    row_of = np.repeat(np.arange(w.last - w.first), row_size)
+    row_size = np.diff(offsets)
+    row_end = np.repeat(offsets[1:], row_size)
+    row_of = np.repeat(np.arange(len(row_size)), row_size)
     known = np.zeros(total + 1, dtype=np.int32)
     for g in groups:
         least = g.n - g.most
@@ -217,8 +229,8 @@ def _search(w, vocabulary: np.ndarray, groups: list[SizeGroup]):
             at = np.flatnonzero(known[g.n :] - known[: total - g.n + 1] >= least)
             start = at[at + g.n <= row_end[at]]
         short = np.flatnonzero((row_size < g.n) & (row_size >= max(1, least)))
-        short = short[known[w.offsets[short + 1]] - known[w.offsets[short]] >= least]
-        begin = np.concatenate([start, w.offsets[short]])
+        short = short[known[offsets[short + 1]] - known[offsets[short]] >= least]
+        begin = np.concatenate([start, offsets[short]])
         if not len(begin):
             continue
         length = np.concatenate([np.full(len(start), g.n), row_size[short]])
@@ -240,7 +252,7 @@ def _search(w, vocabulary: np.ndarray, groups: list[SizeGroup]):
         for x in np.flatnonzero(np.isin(inverse, list(hits))).tolist() if hits else ():
             row = int(row_of[begin[x]])
             for item, edits in hits[int(inverse[x])]:
-                yield row, g.ids[item], edits, int(begin[x] - w.offsets[row])
+                yield row, g.ids[item], edits, int(begin[x] - offsets[row])
 
 
 def _word_hashes(texts: list[str | None]) -> list[np.ndarray]:
@@ -283,13 +295,11 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = 0.8, rec
             vocabulary, groups = sent.value
             for batch in slices(batches):
                 best: dict[tuple[int, int], list[int]] = {}
-                for w in words(batch.column("text"), lower=True):
-                    if len(w.hashes):
-                        for row, item, edits, start in _search(w, vocabulary, groups):
-                            mine = best.setdefault((w.first + row, item), [edits, 0, start])
-                            mine[1] += 1
-                            if (edits, start) < (mine[0], mine[2]):
-                                mine[0], mine[2] = edits, start
+                for row, item, edits, start in _search(*_numbered(batch.column("text"), vocabulary), groups):
+                    mine = best.setdefault((row, item), [edits, 0, start])
+                    mine[1] += 1
+                    if (edits, start) < (mine[0], mine[2]):
+                        mine[0], mine[2] = edits, start
                 ids = batch.column("doc_id").to_pylist()
                 rows = [(ids[row], item, *x) for (row, item), x in best.items()]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
