@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from sheetwright.llm.textcore import slices, words
-from sheetwright.llm.workspace import ship
+from sheetwright.llm.workspace import prepare
 
 #: First code points of script ranges, and the script there (0: other).
 SCRIPTS = (
@@ -154,7 +154,7 @@ def word_features(listed: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def fit(rows: DataFrame, sample_docs: int = 4000, penalty: float = 8.0, smoothing: float = 0.5) -> Model:
     """A model from ``rows`` (doc_id, text, lang), of which about ``sample_docs`` are read."""
     spark = rows.sparkSession
-    ship(spark)
+    prepare(spark)
     rows = rows.where("lang is not null and text is not null").select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string"))
     n = max(1, rows.select("lang").count())
     if n > sample_docs:
@@ -297,7 +297,7 @@ def _label(model: Model, w) -> tuple[np.ndarray, np.ndarray]:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and the number of spans for every row of ``docs``."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches):
         for batch in slices(batches):
@@ -313,7 +313,7 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
     lang_score is the language's share of the letters in learned scripts, lang_share its share of all letters.
     Columns of ``docs`` that have one of these names give way.
     """
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.drop("lang_pred", "lang_score", "lang_share")
 
     def run(batches):
@@ -351,7 +351,7 @@ def _judge(model: Model, column) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and the spans of words [start, end) with one language, in order."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once. Longer texts are cut at separators, and words longer than this in pieces.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True

@@ -16,6 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from sheetwright.shipping import ship
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: ten thousand long texts are much to hold at once.
+BATCH_ROWS = 2000
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every operator needs: the package on the executors, and batches of few rows."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -31,7 +43,7 @@ class Workspace:
     """A folder of one operator call. ``save`` writes a table and reads it again."""
 
     def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
+        prepare(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._taken = 0
