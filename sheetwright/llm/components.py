@@ -25,10 +25,10 @@ def connected_components(links: DataFrame, space: Workspace, most_rounds: int =
     for _ in range(most_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = attach(both, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"), F.col("u").alias("by"))
+        large = attach(both, least, "u", "v", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"), F.col("u").alias("by"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        nexts = space.save(attach(large, down, "u", "by").select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct(), "edges")
+        nexts = space.save(attach(large, down, "u", "by", 2 * before[0]).select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct(), "edges")
         after = _digest(nexts)
         space.drop(edges)
         edges = nexts

@@ -30,7 +30,7 @@ from sheetwright.llm.textcore import CHUNK, Words, spaced_units, words
 _WIDE_SPACE = b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 
 #: Units, and bytes of units, kept by a worker.
-MEMO_UNITS, MEMO_BYTES = 1_600_000, 1 << 26
+MEMO_UNITS, MEMO_BYTES = 400_000, 1 << 24
 
 
 def _keeps_space(spec: dict) -> bool | None:

@@ -211,3 +211,21 @@ def test_a_query_finds_the_copies_of_its_vector(spark, hot):
     frame = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(120_000)), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
     rows = ann.search(frame, frame.where("vec_id = 95000"), sample=2048).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in rows] == [(250 * k, 0.0) for k in range(10)]
+
+
+# -- shared parts
+
+
+def test_a_hot_key_is_split(spark, monkeypatch):
+    from sheetwright.llm import components, skew
+    from sheetwright.llm.workspace import Workspace
+
+    monkeypatch.setattr(skew, "SMALL_ROWS", 0)
+    rows = spark.createDataFrame([(7 if k % 3 else k, k) for k in range(3000)] + [(None, 5)], "g long, v long")
+    groups = spark.createDataFrame([(k, f"n{k}") for k in range(0, 3000, 2)] + [(7, "hot")], "g long, name string")
+    got = sorted(tuple(r) for r in skew.attach(rows, groups, "g", "v").collect())
+    names = {k: f"n{k}" for k in range(0, 3000, 2)} | {7: "hot"}
+    assert got == sorted((g, v, names[g]) for v, g in ((k, 7 if k % 3 else k) for k in range(3000)) if g in names)
+    links = [(500, k) for k in range(1, 1500) if k != 500] + [(k + 5000, k + 4000) for k in range(700)]
+    roots = components.connected_components(spark.createDataFrame(links, "a long, b long"), Workspace(spark, "test")).collect()
+    assert {r["node"]: r["root"] for r in roots} == {**dict.fromkeys(range(1, 1500), 1), **{k + d: k + 4000 for k in range(700) for d in (4000, 5000)}}
