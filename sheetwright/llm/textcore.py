@@ -89,8 +89,8 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def _hash_chunk(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, their byte spans and the rows' word offsets, for at most CHUNK bytes."""
+def _spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' byte spans and the rows' word offsets."""
     separator = _SEPARATOR[raw]
     n = len(raw)
     before = np.empty(n, dtype=bool)
@@ -104,7 +104,13 @@ def _hash_chunk(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after[inner - 1] = True
     starts = np.flatnonzero(before & ~separator)
     ends = np.flatnonzero(after & ~separator) + 1
-    return _sums(raw, starts, ends), starts, ends, np.searchsorted(starts, offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def _hash_chunk(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, their byte spans and the rows' word offsets, for at most CHUNK bytes."""
+    starts, ends, where = _spans(raw, offsets)
+    return _sums(raw, starts, ends), starts, ends, where
 
 
 def _long_text(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,8 +168,11 @@ class Words:
         self.starts, self.ends, self.raw, self.bounds = starts, ends, raw, bounds
 
 
-def words(column: pa.Array, lower: bool = False):
-    """Words of a text column, in groups of rows of about CHUNK bytes."""
+def words(column: pa.Array, lower: bool = False, hashed: bool = True):
+    """Words of a text column, in groups of rows of about CHUNK bytes.
+
+    hashed: without it there are no hashes, and a text longer than CHUNK has no words.
+    """
     raw, offsets = text_buffer(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:
@@ -173,9 +182,12 @@ def words(column: pa.Array, lower: bool = False):
         if lower:
             part = _LOWER[part]
         own = offsets[row : stop + 1] - offsets[row]
-        if len(part) == 0:
+        if len(part) == 0 or (len(part) > CHUNK and not hashed):
             empty = np.zeros(0, dtype=np.int64)
             yield Words(row, stop, empty.astype(np.uint64), np.zeros(stop - row + 1, dtype=np.int64), empty, empty, part, own)
+        elif not hashed:
+            starts, ends, where = _spans(part, own)
+            yield Words(row, stop, np.zeros(0, dtype=np.uint64), where, starts, ends, part, own)
         else:
             if len(part) <= CHUNK:
                 value, starts, ends, where = _hash_chunk(part, own)
@@ -197,24 +209,76 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix64(total + np.uint64(n))
 
 
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
+_MARK = np.zeros(256, dtype=bool)
+_MARK[0x21:0x7F] = True
+_MARK &= ~_ALNUM
+_MARK[ord("'")] = False
+
+
+def _cuts(raw: np.ndarray) -> np.ndarray:
+    """Whether an ASCII mark other than an apostrophe follows an ASCII letter or digit: no pre-token goes on over that place."""
+    cut = np.zeros(len(raw), dtype=bool)
+    np.logical_and(_ALNUM[raw[:-1]], _MARK[raw[1:]], out=cut[1:])
+    return cut
+
+
 def spaced_units(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, byte spans and row offsets of words with the separators before them, and of rows' last separators."""
-    rows = np.arange(w.last - w.first)
-    count = np.diff(w.offsets)
-    row_of = np.repeat(rows, count)
-    begin = w.bounds[:-1]
-    starts = np.empty(len(w.starts), dtype=np.int64)
-    if len(starts):
-        starts[1:] = w.ends[:-1]
-        starts[0] = 0
-        first = w.offsets[:-1][count > 0]
-        starts[first] = begin[count > 0]
-    last = np.where(count > 0, w.ends[np.maximum(w.offsets[1:] - 1, 0)] if len(w.ends) else 0, begin)
-    tail = np.flatnonzero(last < w.bounds[1:])
-    row_of = np.concatenate([row_of, tail])
-    starts = np.concatenate([starts, last[tail]])
-    ends = np.concatenate([w.ends, w.bounds[1:][tail]])
-    order = np.argsort(row_of, kind="stable")
-    row_of, starts, ends = row_of[order], starts[order], ends[order]
-    keys = mix64(_sums(w.raw, starts, ends) ^ mix64((ends - starts).astype(np.uint64)))
-    return keys, starts, ends, np.searchsorted(row_of, np.arange(w.last - w.first + 1))
+    """Keys, byte spans and row offsets of words with the separators before them, cut before marks, and of rows' last separators."""
+    n = len(w.raw)
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[:n] = _cuts(w.raw)
+    edge[w.ends] = True
+    edge[w.bounds] = True
+    edges = np.flatnonzero(edge)
+    starts, ends = edges[:-1], edges[1:]
+    return span_keys(w.raw, starts, ends), starts, ends, np.searchsorted(starts, w.bounds)
+
+
+def bare_units(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, byte spans and row offsets of words, cut before marks."""
+    first, last = np.zeros(len(w.raw) + 1, dtype=bool), np.zeros(len(w.raw) + 1, dtype=bool)
+    first[:-1] = last[:-1] = _cuts(w.raw)
+    first[w.starts] = True
+    last[w.ends] = True
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last)
+    return span_keys(w.raw, starts, ends), starts, ends, np.searchsorted(starts, w.bounds)
+
+
+def folded(raw: np.ndarray) -> np.ndarray:
+    """A-Z in lower case, but for those before a byte beyond ASCII, which may be an accent that only one case takes."""
+    out = _LOWER[raw]
+    before = np.flatnonzero(raw[1:] >= 0x80)
+    out[before] = raw[before]
+    return out
+
+
+#: Masks of the lowest 0 to 8 bytes.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``raw`` on, as numbers; zeros follow its end."""
+    padded = np.zeros(len(raw) + 8, dtype=np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def span_lanes(raw8: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+    """(k, spans, eight bytes): the k-th eight bytes of those spans that have them, zeros after their end. ``raw8``: of eights()."""
+    yield 0, slice(None), raw8[starts] & _LOW_BYTES[np.minimum(sizes, 8)]
+    k, more = 1, np.flatnonzero(sizes > 8)
+    while len(more):
+        yield k, more, raw8[starts[more] + 8 * k] & _LOW_BYTES[np.minimum(sizes[more] - 8 * k, 8)]
+        k += 1
+        more = more[sizes[more] > 8 * k]
+
+
+def span_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of ``raw``, from eight bytes at a time."""
+    sizes = ends - starts
+    total = sizes.astype(np.uint64)
+    for k, some, lane in span_lanes(eights(raw), starts, sizes):
+        total[some] += mix64(lane + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    return mix64(total)

@@ -1,6 +1,7 @@
 """Long texts, many matches, structured words, odd letters: cases that small tables don't hold."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -54,6 +55,42 @@ def test_units_that_share_a_hash_are_encoded_whole(monkeypatch):
     assert [got[k] for k in range(4)] == [plain.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_the_library_gets_a_word_few_times(monkeypatch, name):
+    from sheetwright.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMO_UNITS", 2000)
+    path = public_tokenizers.path(name)
+    encoder, plain, sent, real = Encoder(path, 2), Tokenizer.from_file(path), Counter(), Encoder.whole
+
+    def whole(texts, *others):
+        sent.update(WORD.findall(" ".join(texts).replace("<|endoftext|>", " ").replace("<|startoftext|>", " ").replace("\u0120", "")))
+        return real(encoder, texts, *others)
+
+    encoder.whole = whole
+    common = ["".join("abcdefghij"[int(d)] for d in f"{k:03}") + "x" for k in range(100)]
+    for round_ in range(40):
+        fresh = ["".join("klmnopqrst"[int(d)] for d in f"{round_:02}{k:03}") for k in range(400)]
+        texts = [" " + " ".join(common) + " " + " ".join(fresh), " " + ", ".join(common[:50]) + ". " + "! ".join(common[50:])]
+        got = {}
+        for row, ids, bounds in encoder.encode(pa.array(texts)):
+            got |= {row + k: ids[a:b].tolist() for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))}
+        assert [got[k] for k in range(2)] == [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert max(sent[w] + sent[w + ","] + sent[w + "."] + sent[w + "!"] for w in common) <= 2
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_ids_of_marks_accents_and_spaces(name):
+    atoms = [*"aAhHiIjtTwy09'',.!=/_-|$", "'s", "'S", "'re", " ", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\u0301", "\u0331", "\u030c", "\u0307", "\u0338"]
+    atoms += ["\xe9", "\xdf", "\u0130", "\u03a3", "\u65e5", "\u1100", "\u1161", "\u212a", "\u037e", "\U0001f600", "\u0661", "\xbd", "\u200d", "the", "hello", "<|"]
+    draw, path = random.Random(7), public_tokenizers.path(name)
+    texts = ["".join(draw.choices(atoms, k=draw.randint(0, 40))) for _ in range(5000)] + ["b" * 3000 + ", " + "c" * 3000]
+    encoder, plain, got = Encoder(path, 2), Tokenizer.from_file(path), {}
+    for row, ids, bounds in encoder.encode(pa.array(texts)):
+        got |= {row + k: ids[a:b].tolist() for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))}
+    assert [got[k] for k in range(len(texts))] == [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
 # -- 2: languages
 
 
