@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by score-aware quantisation.
+"""Nearest neighbours by score-aware quantisation, with an exact check of what it leaves open.
 
 Small Euclidean distance is large inner product: ``|x - q|^2`` is
 ``|x|^2 - 2 <q, x>`` but for a constant of the query. Vectors are quantised two
@@ -6,26 +6,30 @@ components at a time to one of 16 centroids (4 bits). The quantiser weighs the
 part of the residual that is parallel to the vector, which shifts the products
 with near queries, ``eta`` times as much as the rest (anisotropic loss), both
 when centroids are fitted and when codes are chosen. A scan adds up table
-entries for the codes; the best candidates of a query are measured exactly on
-the original vectors. How many follows from the number of rows, as recall in a
-fixed number falls while rows grow: see ``rerank_for``.
+entries for the codes, and the best candidates of a query are measured exactly
+on the original vectors.
+
+Codes say little where vectors lie in tight groups, far from the origin or on
+very different scales, or where many are equally near. Each row therefore
+keeps the length of its residual: a query is no nearer to a row than to the
+row's code less that length. Every row that this bound lets through is
+measured too, so the result is exact for all rows, ties included, and the codes
+decide only how much is measured: at worst all rows, in slices of bounded size.
 
 The quantiser is fitted on a bounded sample (``sample`` vectors, by a hash of
 vec_id). Every valid row is indexed. Queries are dealt to blocks of about
 ``query_block`` by a hash and written; one block at a time is read by the
-driver, sent out, and its candidates written before the next, so neither the
-driver nor what is sent grows with the queries. Each block is one pass over
-codes of a few bytes a row, so the cost is queries times rows. Copies of one
-vector would crowd out other candidates, so of equal vectors the index holds
-only the ``k`` + 1 smallest ids, once each, which is all that a result of ``k``
-and the query itself can take; the copies of a query's own vector are
-candidates whatever the scan says of them.
+driver, sent out, and each task's ``k`` nearest written before the next, so
+neither the driver nor what is sent grows with the queries. Each block is one
+pass over codes and vectors, so the cost is queries times rows. Of equal
+vectors the index holds only the ``k`` + 1 smallest ids, once each, which is
+all that a result of ``k`` and the query itself can take.
 
 Edge cases: vectors that are null or zero, hold null or non-finite components
 or have another size than most are neither queries nor candidates; rows with a
-null vec_id neither; rows that repeat a vec_id count once; ties go to the
-smaller vec_id; fewer than ``k`` candidates give fewer rows; an empty table
-gives none; other columns are ignored.
+null vec_id neither; rows that repeat a vec_id count once, by the nearest of
+them; ties go to the smaller vec_id; fewer than ``k`` candidates give fewer
+rows; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,17 +45,22 @@ from pyspark.sql import functions as F
 from sheetwright.llm.textcore import mix64
 from sheetwright.llm.workspace import Workspace
 
-CODED = "vec_id long, code binary, norm double, vector_key long"
-NEAR = "query_id long, vec_id long, rough double"
+CODED = "vec_id long, code binary, gap double, vector_key long"
+INDEXED = f"{CODED}, error double, vector binary"
+NEAR = "query_id long, vec_id long, score double"
+
+#: Rows that a scan looks at together, and pairs that it measures together.
+SLICE, PAIRS = 2048, 32_768
 
 
 @dataclass
 class Quantiser:
-    """centroids: by pair of components, 16 points each."""
+    """centroids: by pair of components, 16 points each, of vectors times ``scale``, a power of two; so are all its arguments."""
 
     centroids: np.ndarray
     size: int
     eta: float
+    scale: float = 1.0
 
     def _parts(self, x: np.ndarray) -> np.ndarray:
         wide = np.zeros((len(x), 2 * len(self.centroids)))
@@ -75,13 +84,17 @@ class Quantiser:
                 total = rest + along[rows, m, code[:, m]]
         return code
 
-    def packed(self, x: np.ndarray) -> np.ndarray:
-        code = self.codes(x).astype(np.uint8)
-        return code[:, 0::2] | code[:, 1::2] << 4
+    def read(self, code: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        return self.centroids[np.arange(len(self.centroids))[None], code].reshape(len(code), -1)[:, : self.size]
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
-        """For each query and byte of a code, what the byte adds to ``-2 <q, x>``."""
-        add = -2 * np.einsum("qmc,mkc->qmk", self._parts(queries), self.centroids)
+        """For each query and byte of a code (two pairs), what the byte adds to the squared distance of the code's vector."""
+        gap = self._parts(queries)[:, :, None, :] - self.centroids[None]
+        if self.size % 2:
+            gap[:, (self.size - 1) // 2, :, 1] = 0
+        gap[:, -(-self.size // 2) :] = 0
+        add = (gap * gap).sum(axis=3)
         low, high = add[:, 0::2], add[:, 1::2]
         return (high[:, :, :, None] + low[:, :, None, :]).reshape(len(queries), low.shape[1], 256).astype(np.float32)
 
@@ -90,6 +103,8 @@ def fit(x: np.ndarray, threshold: float = 0.2, rounds: int = 8, seed: int = 7) -
     """A quantiser for vectors like ``x``; ``threshold``: cosine from which products matter."""
     n, size = x.shape
     pairs = -(-size // 4) * 2
+    scale = 2.0 ** -min(1000.0, max(-1000.0, np.floor(np.log2(np.abs(x).max()))))
+    x = x * scale
     random = np.random.default_rng(seed)
     wide = np.zeros((n, 2 * pairs))
     wide[:, :size] = x
@@ -97,7 +112,7 @@ def fit(x: np.ndarray, threshold: float = 0.2, rounds: int = 8, seed: int = 7) -
     centroids = np.stack([parts[random.choice(n, 16, replace=n < 16), m] for m in range(pairs)])
     centroids += random.normal(0, 1e-6, centroids.shape)
     eta = max(1.0, (size - 1) * threshold**2 / (1 - threshold**2))
-    out = Quantiser(centroids, size, 1.0)
+    out = Quantiser(centroids, size, 1.0, scale)
     unit = parts / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)[:, None, None]
     for turn in range(rounds):
         if turn == rounds // 2:
@@ -122,11 +137,14 @@ def fit(x: np.ndarray, threshold: float = 0.2, rounds: int = 8, seed: int = 7) -
     return out
 
 
+def _usable(embeddings: DataFrame) -> DataFrame:
+    given = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
+    return given.where("vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
+
+
 def valid(embeddings: DataFrame) -> DataFrame:
     """vec_id and v (doubles) of the rows that take part."""
-    given = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
-    usable = "vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
-    given = given.where(usable)
+    given = _usable(embeddings)
     most = given.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     return given.where(F.size("v") == (most["n"] if most else 0))
 
@@ -136,19 +154,29 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def encode(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
+def encode(vectors: DataFrame, quantiser: Quantiser, kept: str = "<f8") -> DataFrame:
+    """The index's rows. gap: what the squared length loses by the code; error: the residual's length, rounded up; ``kept``: the type that holds components as given."""
+
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 2048):
                 part = batch.slice(k, 2048)
                 x = _matrix(part.column("v"))
-                code = quantiser.packed(x)
+                with np.errstate(all="ignore"):
+                    near = x * quantiser.scale
+                    code = quantiser.codes(near)
+                    back = quantiser.read(code)
+                    gap = (near * near).sum(axis=1) - (back * back).sum(axis=1)
+                    error = np.sqrt(((near - back) ** 2).sum(axis=1)) * (1 + 1e-9) + 1e-150
+                small = code.astype(np.uint8)
+                small = small[:, 0::2] | small[:, 1::2] << 4
                 key = np.zeros(len(x), dtype=np.uint64)
                 for j in range(x.shape[1]):
                     key = mix64(key ^ (x[:, j] + 0.0).view(np.uint64))
-                yield pa.record_batch([part.column("vec_id"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array((x * x).sum(axis=1)), pa.array(key.view(np.int64))], names=["vec_id", "code", "norm", "vector_key"])
+                binary = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
+                yield pa.record_batch([part.column("vec_id"), binary(small), pa.array(gap), pa.array(key.view(np.int64)), pa.array(error), binary(x.astype(kept))], names=["vec_id", "code", "gap", "vector_key", "error", "vector"])
 
-    return vectors.mapInArrow(run, CODED)
+    return vectors.mapInArrow(run, INDEXED)
 
 
 def few_copies(coded: DataFrame, most: int) -> DataFrame:
@@ -161,33 +189,94 @@ def few_copies(coded: DataFrame, most: int) -> DataFrame:
 
 
 def rerank_for(rows: int) -> int:
-    """Candidates measured exactly: 200 up to 20,000 rows, and then more by the square root of the rows."""
+    """Candidates measured for their scores alone: 200 up to 20,000 rows, and then more by the square root of the rows."""
     return int(200 * max(1.0, rows / 20_000) ** 0.5)
 
 
-def scan(index: DataFrame, sent, rerank: int) -> DataFrame:
-    """Each task's best candidates of every query of a block; ``sent``: the broadcast (ids, tables) of the block."""
+def _measured(x: np.ndarray, y: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Distances of columns ``at`` of x and ``to`` of y, with components added in their order."""
+    out = np.empty(len(at))
+    for k in range(0, len(at), PAIRS):
+        apart = np.take(y, to[k : k + PAIRS], axis=1) - np.take(x, at[k : k + PAIRS], axis=1)
+        out[k : k + PAIRS] = np.sqrt(np.add.reduce(apart * apart, axis=0))
+    return out
+
+
+def _nearest(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` nearest ids of each query, each id once, in order of query, score and id."""
+    order = np.lexsort((score, ids, query))
+    query, ids, score = query[order], ids[order], score[order]
+    first = np.ones(len(query), dtype=bool)
+    first[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])
+    query, ids, score = query[first], ids[first], score[first]
+    order = np.lexsort((ids, score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[kept], ids[kept], score[kept]
+
+
+def scan(index: DataFrame, sent, rerank: int, k: int, scale: float, kept: str) -> DataFrame:
+    """Each task's ``k`` nearest rows of every query of a block; ``sent``: the broadcast (ids, vectors, tables) of the block."""
 
     def run(batches):
-        query_ids, tables = sent.value
-        ids = np.zeros((len(query_ids), 0), dtype=np.int64)
-        rough = np.zeros(ids.shape, dtype=np.float32)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                own, norm = (part.column(c).to_numpy() for c in ("vec_id", "norm"))
-                norm = norm.astype(np.float32)
-                code = np.frombuffer(b"".join(part.column("code").to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
-                score = np.repeat(norm[None], len(query_ids), axis=0)
-                for m in range(code.shape[1]):
-                    score += tables[:, m][:, code[:, m]]
-                ids = np.concatenate([ids, np.broadcast_to(own, score.shape)], axis=1)
-                rough = np.concatenate([rough, score], axis=1)
-                if rough.shape[1] > rerank:
-                    best = np.argpartition(rough, rerank - 1, axis=1)[:, :rerank]
-                    rough, ids = (np.take_along_axis(z, best, axis=1) for z in (rough, ids))
-        if ids.shape[1]:
-            yield pa.record_batch([pa.array(np.repeat(query_ids, ids.shape[1])), pa.array(ids.ravel()), pa.array(rough.ravel().astype(np.float64))], names=["query_id", "vec_id", "rough"])
+        query_ids, asked, tables = sent.value
+        y, near_y = np.ascontiguousarray(asked.T), asked * scale
+        loose = np.float32(1 + (tables.shape[1] + 8) * 2.0**-22)  # what rounding to 32 bits can add up to
+        best = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        least = np.full(len(query_ids), np.inf)  # by query, the k-th distance so far
+
+        def take(at, to):
+            nonlocal best
+            other = own[to] != query_ids[at]
+            at, to = at[other], to[other]
+            score = _measured(y, x, at, to)
+            good = score <= least[at]
+            best = _nearest(*[np.concatenate(z) for z in zip(best, (at[good], own[to[good]], score[good]), strict=True)], k)
+            full = np.flatnonzero(np.arange(len(best[0])) - np.searchsorted(best[0], best[0]) == k - 1)
+            least[best[0][full]] = best[2][full]
+
+        def open_pairs(done):
+            """Pairs that the codes' bound lets through; many of them go through products of the vectors first."""
+            reach = np.nextafter((least * scale).astype(np.float32), np.float32(np.inf))[:, None] + np.nextafter(error.astype(np.float32), np.float32(np.inf))[None]
+            reach *= reach
+            reach *= loose
+            reach += np.float32(1e-30)
+            left = ~(square > reach)
+            if done is not None:
+                np.put_along_axis(left, done, False, axis=1)
+            if np.count_nonzero(left) <= 4 * len(query_ids):
+                return np.nonzero(left)
+            rows = np.flatnonzero(left.any(axis=0))
+            near_x = x.T[rows] * scale
+            centre = near_x.mean(axis=0)
+            a, b = near_y - centre, near_x - centre
+            a2, b2 = (a * a).sum(axis=1), (b * b).sum(axis=1)
+            apart = a @ b.T
+            apart *= -2
+            apart += a2[:, None]
+            apart += b2[None]
+            apart -= (len(x) + 16) * 2.0**-49 * (a2[:, None] + b2[None])
+            at, to = np.nonzero(left[:, rows] & ~(apart > ((least * scale) ** 2 * (1 + 1e-9) + 1e-290)[:, None]))
+            return at, rows[to]
+
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                for start in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(start, SLICE)
+                    own, gap, error = (part.column(c).to_numpy() for c in ("vec_id", "gap", "error"))
+                    code = np.frombuffer(b"".join(part.column("code").to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
+                    x = np.ascontiguousarray(np.frombuffer(b"".join(part.column("vector").to_pylist()), dtype=kept).reshape(part.num_rows, -1).T.astype(np.float64))
+                    square = np.zeros((len(query_ids), part.num_rows), dtype=np.float32)
+                    for m in range(code.shape[1]):
+                        square += tables[:, m][:, code[:, m]]
+                    done = None
+                    if np.isinf(least).any():
+                        most = min(rerank, part.num_rows)
+                        done = np.argpartition(square + gap.astype(np.float32), most - 1, axis=1)[:, :most]
+                        take(np.repeat(np.arange(len(query_ids)), most), done.ravel())
+                    take(*open_pairs(done))
+        if len(best[0]):
+            yield pa.record_batch([pa.array(query_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "vec_id", "score"])
 
     return index.mapInArrow(run, NEAR)
 
@@ -205,28 +294,27 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 10, rerank: int |
     if not n:
         return spark.createDataFrame([], schema)
     rerank = rerank or rerank_for(n)
+    kept = "<f4" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "<f8"
     part = vectors if n <= sample else vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     quantiser = fit(_matrix(part.toArrow().column("v").combine_chunks()))
-    index = space.save(few_copies(encode(vectors, quantiser), k + 1), "codes")
+    index = space.save(few_copies(encode(vectors, quantiser, kept), k + 1), "codes")
 
-    asked = valid(queries).where(F.size("v") == quantiser.size).dropDuplicates(["vec_id"])
+    asked = _usable(queries).where(F.size("v") == quantiser.size).dropDuplicates(["vec_id"])
     blocks = max(1, -(-asked.count() // query_block))
     asked = space.save(asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks))), "queries")
 
-    own = encode(asked.select("vec_id", "v"), quantiser).select(F.col("vec_id").alias("query_id"), "vector_key")
-    found = [own.join(index.select("vec_id", "vector_key"), "vector_key").select("query_id", "vec_id", F.lit(float("-inf")).alias("rough"))]
+    found = []
     for b in range(blocks):
         held = asked.where(F.col("block") == b).toArrow()
         if not held.num_rows:
             continue
-        sent = spark.sparkContext.broadcast((held.column("vec_id").to_numpy(), quantiser.tables(_matrix(held.column("v").combine_chunks()))))
-        found.append(space.save(scan(index, sent, rerank + k).select("query_id", "vec_id", "rough").where("vec_id <> query_id"), "near"))
+        block = _matrix(held.column("v").combine_chunks())
+        sent = spark.sparkContext.broadcast((held.column("vec_id").to_numpy(), block, quantiser.tables(block * quantiser.scale)))
+        found.append(space.save(scan(index, sent, rerank, k, quantiser.scale, kept), "near"))
         sent.destroy()
+    if not found:
+        return spark.createDataFrame([], schema)
 
-    near = functools.reduce(DataFrame.union, found).where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("rough").alias("rough"))
-    near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rough", "vec_id"))).where(F.col("place") <= rerank + k)
-    pairs = near.select("query_id", "vec_id").join(vectors.select("vec_id", "v"), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    square = F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
-    measured = pairs.select("query_id", "vec_id", F.sqrt(square).alias("score")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    measured = functools.reduce(DataFrame.union, found).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = measured.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -109,6 +109,33 @@ def test_copies_of_a_vector_over_many_slices_of_a_task(spark):
     assert sorted(r["vec_id"] for r in ann.few_copies(coded, 11).collect()) == list(range(11))
 
 
+@pytest.mark.parametrize("kind", ["tight groups", "far from the origin", "lattice", "scales", "odd size"])
+def test_nearest_vectors_whatever_the_rows(spark, kind):
+    """Rows whose codes say little of who is near, or that are equally near: the result is that of brute force."""
+    random = np.random.default_rng(9)
+    n = 6000
+    x = {
+        "tight groups": lambda: random.normal(size=(6, 32))[random.integers(0, 6, n)] + random.normal(size=(n, 32)) * 0.001,
+        "far from the origin": lambda: 1000 + random.normal(size=(n, 32)),
+        "lattice": lambda: random.integers(0, 2, size=(n, 16)) - 0.5,
+        "scales": lambda: random.normal(size=(n, 32)) * 10.0 ** random.integers(-25, 25, size=(n, 1)),
+        "odd size": lambda: random.normal(size=(n, 7)),
+    }[kind]()
+    frame = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.array(list(x), pa.list_(pa.float64()))})).repartition(3)
+    got = {}
+    for r in ann.search(frame, frame.where("vec_id % 100 = 0"), query_block=40).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in range(0, n, 100):
+        d = np.sqrt(np.add.accumulate((x - x[q]) ** 2, axis=1)[:, -1])
+        assert got[q] == [(int(k), d[k]) for k in np.lexsort((np.arange(n), d)) if k != q][:10]
+
+
+def test_queries_of_another_common_size_are_asked(spark):
+    rows = [(k, [1.0 * k + 1, 1.0]) for k in range(1, 30)] + [(0, [1.0, 1.0]), (100, [1.0] * 3), (200, [2.0] * 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r["query_id"] for r in ann.search(frame, frame.where("vec_id % 100 = 0")).collect()} == {0}
+
+
 # -- 8: urls
 
 
