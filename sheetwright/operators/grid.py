@@ -152,20 +152,28 @@ def distinct_by_line(slots_: DataFrame, line: str) -> DataFrame:
 
 
 def edges(slots_: DataFrame) -> DataFrame:
-    """Every segment of the grid's lines: orientation, line, place, the cells on both sides, and whether it lies inside a cell."""
-    size = slots_.groupBy("grid").agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"))
-    cell = F.when(F.col("root_row").isNotNull(), F.struct("root_row", "root_col"))
-
-    def side(line: str, place: str, shift: int, name: str) -> DataFrame:
-        return slots_.select("grid", (F.col(line) + shift).alias("line"), F.col(place).alias("place"), cell.alias(name))
+    """Every segment of the grid's lines: orientation, line, place, the cells on both sides, and whether it lies inside a cell.
 
-    out = None
-    for orientation, line, place, lines, places in (("horizontal", "row", "col", "n_rows", "n_cols"), ("vertical", "col", "row", "n_cols", "n_rows")):
-        every = size.select("grid", F.explode(F.sequence(F.lit(0), F.col(lines))).alias("line"), places).select("grid", "line", F.explode(F.sequence(F.lit(0), F.col(places) - 1)).alias("place"))
-        seen = every.join(side(line, place, 1, "before"), ["grid", "line", "place"], "left").join(side(line, place, 0, "after"), ["grid", "line", "place"], "left")
-        part = seen.select("grid", F.lit(orientation).alias("orientation"), "line", "place", "before", "after", F.coalesce(F.col("before") == F.col("after"), F.lit(False)).alias("internal"), (F.col("before").isNull() | F.col("after").isNull()).alias("perimeter"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    Slots and segments meet in one aggregate: a table of slots is much larger than the cells it comes from, which
+    the planner doesn't know when it looks for what to broadcast. A large grid's lines are dealt out before they spread.
+    """
+    parts = int(slots_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = slots_.groupBy("grid").agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"))
+    ways = F.array(*[F.struct(F.lit(v).alias("vertical"), F.col(lines).alias("lines"), F.col(places).alias("places")) for v, lines, places in ((False, "n_rows", "n_cols"), (True, "n_cols", "n_rows"))])
+    every = size.select("grid", F.explode(ways).alias("way")).select("grid", "way.vertical", "way.places", F.explode(F.sequence(F.lit(0), F.col("way.lines"))).alias("line"))
+    every = every.repartition(parts, "grid", "vertical", "line").select("grid", "vertical", "line", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
+
+    def side(vertical: bool, line: str, place: str, before: bool) -> Column:
+        cell = [F.when(F.lit(of == before), F.col(c)).alias(f"{name}_{c}") for name, of in (("before", True), ("after", False)) for c in ("root_row", "root_col")]
+        return F.struct(F.lit(vertical).alias("vertical"), (F.col(line) + int(before)).alias("line"), F.col(place).alias("place"), *cell)
+
+    sides = F.array(*[side(v, line, place, before) for v, line, place in ((False, "row", "col"), (True, "col", "row")) for before in (True, False)])
+    seen = slots_.where("grid is not null and row is not null and col is not null").select("grid", F.explode(sides).alias("s")).select("grid", "s.*")
+    met = every.withColumn("real", F.lit(True)).unionByName(seen, allowMissingColumns=True).groupBy("grid", "vertical", "line", "place")
+    met = met.agg(F.max("real").alias("real"), *[F.max(c).alias(c) for c in ("before_root_row", "before_root_col", "after_root_row", "after_root_col")]).where("real")
+    cell = lambda name: F.when(F.col(f"{name}_root_row").isNotNull(), F.struct(F.col(f"{name}_root_row").alias("root_row"), F.col(f"{name}_root_col").alias("root_col"))).alias(name)
+    out = met.select("grid", F.when(F.col("vertical"), "vertical").otherwise("horizontal").alias("orientation"), "line", "place", cell("before"), cell("after"))
+    return out.withColumns({"internal": F.coalesce(F.col("before") == F.col("after"), F.lit(False)), "perimeter": F.col("before").isNull() | F.col("after").isNull()})
 
 
 def seams(edges_: DataFrame, right_to_left: bool = False) -> DataFrame:

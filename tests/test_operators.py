@@ -37,6 +37,27 @@ def test_grid_slots_and_edges(cells):
     assert grid.seams(e).count() == 15
 
 
+def test_grid_edges_of_a_gappy_grid_without_a_broadcast(spark):
+    """Spread slots pass for as small as their cells: nothing may be broadcast whose size the planner guesses from those."""
+    random = np.random.default_rng(2)
+    rows = [(f"g{g}", int(r) * 2, int(c) * 3, int(random.integers(1, 3)), int(random.integers(1, 4)), 0.0, 0.0) for g in range(3) for r in range(4) for c in range(4) if random.random() < 0.6]
+    rows += [(None, 0, 0, 1, 1, 0.0, 0.0)]
+    cells = spark.createDataFrame(rows, "grid string, row int, col int, row_span int, col_span int, pad_left double, pad_right double")
+    e = grid.edges(grid.slots(cells))
+    assert not any(word in e._jdf.queryExecution().toString() for word in ("Join", "BroadcastExchange"))
+    held = {(g, r + i, c + j): (r, c) for g, r, c, down, right, _, _ in rows for i in range(down) for j in range(right) if g}
+    want = {(None, "horizontal", k, 0, None, None, False, True) for k in (0, 1)} | {(None, "vertical", k, 0, None, None, False, True) for k in (0, 1)}
+    for g in {g for g, _, _ in held}:
+        n_rows, n_cols = (1 + max(x[k] for x in held if x[0] == g) for k in (1, 2))
+        for way, lines, places in (("horizontal", n_rows, n_cols), ("vertical", n_cols, n_rows)):
+            for line in range(lines + 1):
+                for place in range(places):
+                    a, b = (held.get((g, k, place) if way == "horizontal" else (g, place, k)) for k in (line - 1, line))
+                    want.add((g, way, line, place, a, b, a is not None and a == b, a is None or b is None))
+    got = [(r["grid"], r["orientation"], r["line"], r["place"], r["before"] and tuple(r["before"]), r["after"] and tuple(r["after"]), r["internal"], r["perimeter"]) for r in e.collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_grid_merge_and_split(cells):
     merged = grid.merge_cells(cells.withColumn("n_paragraphs", F.lit(2)), 1, 0, 1, 2)
     assert merged.where("row = 1 and col = 0").first()["n_paragraphs"] == 4 and merged.count() == 3
