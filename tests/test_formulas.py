@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 
@@ -157,3 +158,27 @@ def test_case_is_one_letter_for_one(spark):
     got = df.select(V.as_text(c.value(syntax.parse("=UPPER(t)"))), V.as_text(c.value(syntax.parse("=LOWER(t)")))).collect()
     assert [tuple(r) for r in got] == [("STRAßE ŉ ᾈ ﬁ", "straße ŉ ᾀ ﬁ"), ("ΣΑΣ İ ẞ", "σασ İ ß"), ("PLAIN", "plain")]
     assert [scalars.cased(t, True) for t in texts] == [r[0] for r in got] and [scalars.cased(t, False) for t in texts] == [r[1] for r in got]
+
+
+def test_only_few_sheets_are_held_together():
+    """However many sheets a part of the table has: what is evaluated together stays small, and each book is whole."""
+    rows = [(k // 30, "A" if k % 30 < 20 else "B", k % 30, 0, str(k)) for k in range(30 * 1500)]
+    frames = (pd.DataFrame(rows[k : k + 777], columns=["book", "sheet", "row", "col", "text"]) for k in range(0, len(rows), 777))
+    sizes, seen = [], []
+    for books in recalc.whole_books(frames, "book", ["row", "col", "text"]):
+        sizes.append(sum(len(cells) for sheets in books.values() for cells in sheets.values()))
+        assert all(len(sheets["A"]) == 20 and len(sheets["B"]) == 10 for sheets in books.values())
+        seen += books
+    assert seen == list(range(1500)) and max(sizes) <= recalc.HELD_CELLS + 30
+
+
+def test_books_over_many_batches(spark):
+    """Books of two sheets over more than one batch and one hold, and cells of no book; no part of a table is one group."""
+    rows = [(b, "Data", r, 0, str(b + r)) for b in range(5000) for r in range(4)] + [(None, "Data", r, 0, t) for r, t in enumerate("7800")]
+    rows += [(b, "Sum", 0, 0, "=SUM(Data!A1:A4)") for b in [None, *range(5000)]]
+    cells = spark.createDataFrame(rows, "book long, sheet string, row int, col int, text string").repartition(7)
+    done = recalc.recalculate(cells, book="book")
+    assert "FlatMapGroups" not in done._jdf.queryExecution().toString()
+    assert done.count() == len(rows)
+    got = {r["book"]: (r["sheet"], r["n"]) for r in done.where("depth is not null").collect()}
+    assert got == {None: ("Sum", 15.0)} | {b: ("Sum", 4.0 * b + 6) for b in range(5000)}
